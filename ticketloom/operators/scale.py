@@ -86,14 +86,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01) -> DataFra
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], by: str, how: str = "inner", share: float = 0.01, pieces: int = 64
-) -> DataFrame:
+    many: DataFrame, one: DataFrame, keys: Sequence[str], by: str, how: str = "inner",
+    share: float = 0.01, pieces: int = 64, hot: DataFrame | None = None,
+) -> DataFrame:
     """Join a skewed fact to a side with few rows per key, splitting only the hot keys.
 
     Hot keys (at most 1/share, so that broadcast is bounded) are spread over `pieces` salts on the
-    fact side and repeated that often on the other. All other keys join as usual.
+    fact side and repeated that often on the other. All other keys join as usual. A caller that
+    already has key counts passes the hot keys itself, with the same bound.
     """
-    hot = F.broadcast(hot_keys(many, keys, share).withColumn("__hot", F.lit(True)))
+    hot = hot_keys(many, keys, share) if hot is None else hot
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
     left = many.join(hot, list(keys), "left").withColumn(
         "__salt", F.when(F.col("__hot"), spread(many, keys, F.col(by), pieces)).otherwise(0)
     )

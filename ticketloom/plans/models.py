@@ -1 +1,163 @@
-"""Registered queries."""
+"""Registered feature, training, triage and rate-limit queries."""
+
+from pyspark.sql import functions as F
+
+from ..functions.rules import with_rules
+from ..operators import features as ft, limits, retrieval as rt, training as tr, triage as tg
+from ..operators.corpus import grouped_split
+from ..schema import URGENCIES
+from .registry import query
+from .text import MESSAGES, SPACE, _CONF, _FIRED, _REASONS, escalation_inputs, messages, normalized
+
+CLASSES = list(URGENCIES)
+_TOKENS = r"regexp_extract_all(" + normalized("text") + r", '[\p{L}\p{N}_]{2,}')"
+_TFIDF = """df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term HAVING count(*) >= {min_df} {top}),
+w AS (SELECT c.doc_id, c.term, (1 + ln(c.tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + d.df)) + 1) AS w FROM counts c JOIN df d USING (term)),
+tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+_WORD = f"""tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok UNION ALL SELECT doc_id, unnest(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || ' ' || p[2])) FROM tok WHERE len(t) > 1) GROUP BY ALL),
+{_TFIDF.format(min_df=2, top='')}"""
+_CHAR = f"""words AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array({normalized('text')}, '{SPACE}+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL),
+grams AS (SELECT doc_id, n, unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(generate_series(1, length(word) + 2 - k + 1), lambda i: substr(' ' || word || ' ', i, k))))) AS term FROM words),
+counts AS (SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS tf FROM grams GROUP BY ALL),
+{_TFIDF.format(min_df=3, top='ORDER BY total DESC, term LIMIT 40000')}"""
+_SUMMARY = "SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS top_weight FROM tfidf GROUP BY doc_id"
+
+
+def docs(t):
+    return t.table("documents").select("doc_id", "text")
+
+
+@query("tfidf_word", f"WITH {_WORD} SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
+def _(t):
+    return ft.tfidf_word(docs(t), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
+@query("tfidf_char", f"WITH {_CHAR} {_SUMMARY}")
+def _(t):
+    return ft.tfidf_char(docs(t), "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight_sum"), F.round(F.max("weight"), 6).alias("top_weight")
+    )
+
+
+def training_sets(t):
+    """Weakly labelled texts split by phrase group."""
+    rows = with_rules(messages(t)).select(F.col("ticket_id").alias("row_id"), "text", F.col("weak_label").alias("label"), F.col("body").alias("grp"))
+    split = grouped_split(rows.withColumn("category", F.lit("all")))
+    return {s: split.filter(F.col("split") == s).select("row_id", "text", "label") for s in ("train", "val", "test")}
+
+
+@query("feature_union")
+def _(t):
+    rows = ft.with_terms(messages(t).select("ticket_id", "text"))
+    model = ft.feature_pipeline().fit(rows)
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).select("ticket_id", F.size(vector_to_array("features")).alias("dimensions"))
+
+
+@query("train_logreg")
+def _(t):
+    sets = training_sets(t)
+    return tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(0.5, 8.0), max_iter=20)[1]
+
+
+@query("train_trees")
+def _(t):
+    sets = training_sets(t)
+    return tr.train_trees(sets["train"], sets["val"], CLASSES, depths=(3,), rounds=3, vocabulary=200)[1]
+
+
+@query("top_coefficients")
+def _(t):
+    sets = training_sets(t)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(2.0,), max_iter=20)
+    return t.spark.createDataFrame(tr.top_coefficients(model, CLASSES), "class string, rank int, feature string, coefficient double")
+
+
+@query("cv_human_weight")
+def _(t):
+    sets = training_sets(t)
+    human = messages(t).filter("corrected_urgency IS NOT NULL OR urgency IS NOT NULL").select(
+        F.col("ticket_id").alias("row_id"), "text", F.coalesce("corrected_urgency", "urgency").alias("label")
+    )
+    oof = tr.cv_human_weight(sets["train"], human, CLASSES, weights=(0, 10), folds=2, max_iter=10)
+    return oof.drop("proba")
+
+
+@query("batch_predictions")
+def _(t):
+    sets = training_sets(t)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(2.0,), max_iter=20)
+    return tr.batch_predictions(model, messages(t), CLASSES, "urgency_classifier", "v5", (1.0, 1.25, 2.0))
+
+
+# --- triage --------------------------------------------------------------------------------
+
+
+def given_labels(t):
+    """Stored labels with the newest confidences, as the classifiers' output."""
+    return escalation_inputs(t).select("ticket_id", "category", "category_confidence", "urgency", "urgency_confidence")
+
+
+def ticket_hits(t):
+    dim = 64
+    queries = rt.embed_texts(messages(t).select(F.col("ticket_id").alias("query_id"), "tenant_id", "text"), dim=dim)
+    return rt.search_topk(queries, t.kb)
+
+
+@query("ticket_triage_rules", f"""
+WITH {_REASONS} SELECT r.tenant_id, r.ticket_id, r.category, r.urgency, l.weak_label, CASE WHEN l.order_id IS NOT NULL THEN CASE WHEN r.amount IS NULL THEN 'no order found' ELSE 'found' END END AS order_result,
+  'awaiting_review' AS status, CASE WHEN r.category IS NULL THEN true ELSE len(reasons) > 0 END AS needs_escalation,
+  CASE WHEN r.category IS NULL THEN 'Agent pipeline failed (no label); review manually or rerun' ELSE nullif(array_to_string(reasons, '; '), '') END AS escalation_reason
+FROM r JOIN labelled l USING (ticket_id)""")
+def _(t):
+    return tg.triage(t.tickets, given_labels(t), t.orders).drop("entries")
+
+
+@query("ticket_triage")
+def _(t):
+    return tg.triage(t.tickets, given_labels(t), t.orders, ticket_hits(t)).withColumn("entries", F.array_join(F.col("entries").cast("array<string>"), ","))
+
+
+@query("grounded_prompt_rows")
+def _(t):
+    entries = t.kb.select("entry_id", "title", F.concat(F.lit("Section with tag "), F.col("tag").cast("string")).alias("content"))
+    return tg.grounded_prompts(t.tickets, t.orders, ticket_hits(t), entries)
+
+
+# --- rate limits ---------------------------------------------------------------------------
+VISITOR, BUSINESS, SECONDS = 3, 40, 43200
+
+
+def _walk(name, source, key, limit):
+    return f"""{name}_o AS (SELECT attempt_id, {key} AS key, epoch_us(ts) AS at, row_number() OVER (PARTITION BY {key} ORDER BY ts, attempt_id) AS rn FROM {source}),
+{name} AS (SELECT attempt_id, key, rn, at, [at] AS hits, true AS allowed FROM {name}_o WHERE rn = 1
+  UNION ALL SELECT o.attempt_id, o.key, o.rn, o.at,
+    CASE WHEN len(list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000)) < {limit} THEN list_append(list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000), o.at)
+      ELSE list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000) END,
+    len(list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000)) < {limit}
+  FROM {name} w JOIN {name}_o o ON o.key = w.key AND o.rn = w.rn + 1)"""
+
+
+_VISITOR_WALK = _walk("v", "fx_attempts", "business || ':' || visitor", VISITOR)
+
+
+@query("rate_limit_decisions", f"""
+WITH RECURSIVE {_VISITOR_WALK}, pass AS (SELECT a.* FROM fx_attempts a JOIN v USING (attempt_id) WHERE v.allowed), {_walk('b', 'pass', 'business', BUSINESS)}
+SELECT attempt_id, 'visitor limit' AS verdict FROM v WHERE NOT allowed UNION ALL SELECT attempt_id, CASE WHEN allowed THEN 'allowed' ELSE 'business limit' END FROM b""")
+def _(t):
+    return limits.contact_decisions(t.attempts, VISITOR, BUSINESS, SECONDS).select("attempt_id", "verdict")
+
+
+@query("login_limit_decisions", f"WITH RECURSIVE {_walk('u', 'fx_attempts', 'visitor', 2)} SELECT attempt_id, allowed FROM u")
+def _(t):
+    return limits.decisions(t.attempts, "visitor", 2, SECONDS).select("attempt_id", "allowed")
+
+
+@query("rate_limit_suspects", f"""
+WITH c AS (SELECT business AS key, epoch_us(ts) AS at, count(*) OVER (PARTITION BY business ORDER BY ts RANGE BETWEEN INTERVAL {SECONDS * 1000000 - 1} MICROSECOND PRECEDING AND CURRENT ROW) AS trailing FROM fx_attempts)
+SELECT DISTINCT key, at, trailing FROM c WHERE trailing > 60""")
+def _(t):
+    out = limits.suspects(t.attempts, "business", 60, SECONDS)
+    return out.select("key", "at", "trailing")
