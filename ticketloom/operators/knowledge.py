@@ -16,6 +16,7 @@ WRONG_TYPE = "Upload Markdown, text, HTML or PDF files."
 TOO_LARGE = "The file is over 5 MB."
 NO_TEXT = "No text found in the file (a scanned PDF needs OCR first)."
 NO_SECTIONS = "No text to index."
+TITLE_LENGTH = 200
 
 
 # --- reading -----------------------------------------------------------------------------
@@ -135,12 +136,12 @@ def part_numbers(sections: DataFrame) -> DataFrame:
     One document is one stored row, so the group of its sections is bounded by that row.
     """
     same = W.partitionBy("document_id", "title")
-    return sections.withColumns(
-        {"__of": F.count("*").over(same), "__part": F.row_number().over(same.orderBy("position"))}
-    ).withColumn(
-        "title",
-        F.when(F.col("__of") > 1, F.concat("title", F.lit(" (part "), F.col("__part").cast("string"), F.lit(")"))).otherwise(F.col("title")),
-    ).drop("__of", "__part")
+    part = F.concat("title", F.lit(" (part "), F.col("__part").cast("string"), F.lit(")"))
+    return (
+        sections.withColumns({"__of": F.count("*").over(same), "__part": F.row_number().over(same.orderBy("position"))})
+        .withColumn("title", F.left(F.when(F.col("__of") > 1, part).otherwise(F.col("title")), F.lit(TITLE_LENGTH)))
+        .drop("__of", "__part")
+    )
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:

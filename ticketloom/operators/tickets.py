@@ -116,15 +116,20 @@ def customer_upsert(customers: DataFrame, requests: DataFrame) -> DataFrame:
 # --- references and data quality ---------------------------------------------------------
 
 
+def with_order(tickets: DataFrame, orders: DataFrame) -> DataFrame:
+    """Tickets with the facts of their order in the same tenant, and what the lookup found (null
+    when no order is linked). One join, so it also works on a stream of tickets."""
+    facts = orders.select(
+        "tenant_id", "order_id", F.col("status").alias("order_status"), "tracking_number", "amount", "item_name"
+    )
+    result = F.when(F.col("order_id").isNotNull(), F.when(F.col("order_status").isNull(), "no order found").otherwise("found"))
+    return tickets.join(facts, ["tenant_id", "order_id"], "left").withColumn("result", result)
+
+
 def ticket_order_lookup(tickets: DataFrame, orders: DataFrame) -> DataFrame:
     """Order facts of every ticket that links one; an order of another tenant is not found."""
     linked = tickets.filter(F.col("order_id").isNotNull()).select("tenant_id", "ticket_id", "order_id")
-    found = orders.select(
-        "tenant_id", "order_id", F.col("status").alias("order_status"), "tracking_number", "amount", "item_name"
-    )
-    return linked.join(found, ["tenant_id", "order_id"], "left").withColumn(
-        "result", F.when(F.col("order_status").isNull(), F.lit("no order found")).otherwise(F.lit("found"))
-    )
+    return with_order(linked, orders)
 
 
 def invalid_refs(tickets: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import with_decision, with_rules
 from ..functions.text import mask_contact, ticket_text
-from .tickets import ticket_order_lookup
+from .tickets import with_order
 
 FAILED = "Agent pipeline failed ({0}); review manually or rerun"
 
@@ -18,11 +18,12 @@ def triage(tickets: DataFrame, labels: DataFrame, orders: DataFrame, hits: DataF
     (a ticket id), entry_id, rank; at most k rows per ticket. A ticket that cannot be processed is
     escalated with the reason instead of stopping the batch.
     """
-    facts = ticket_order_lookup(tickets, orders).select(
-        "ticket_id", F.col("result").alias("order_result"), F.col("amount").cast("double").alias("order_amount")
+    base = tickets.select("tenant_id", "ticket_id", "order_id", "subject", "body").withColumn("text", ticket_text())
+    out = (
+        with_order(with_rules(base), orders)
+        .withColumns({"order_result": F.col("result"), "order_amount": F.col("amount").cast("double")})
+        .join(labels, "ticket_id", "left")
     )
-    base = tickets.select("tenant_id", "ticket_id", "subject", "body").withColumn("text", ticket_text())
-    out = with_rules(base).join(labels, "ticket_id", "left").join(facts, "ticket_id", "left")
     if hits is not None:
         found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entry_id"))).alias("h"))
         found = found.select(F.col("query_id").alias("ticket_id"), F.transform("h", lambda x: x["entry_id"]).alias("entries"))

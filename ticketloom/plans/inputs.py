@@ -245,6 +245,15 @@ class Inputs:
         ctes = ", ".join(f"{v} AS ({_render(_TEMPLATES[v], 'spark', self.sf_dir)})" for v in order)
         return f"WITH {ctes} {text}"
 
+    def streaming(self, name: str, table: str, stream: DataFrame) -> DataFrame:
+        """The input table with one driver table replaced by a stream of it."""
+        view = f"stream_of_{table}"
+        stream.createOrReplaceTempView(view)
+        text = _render(_TEMPLATES[name], "spark", self.sf_dir)
+        needed = any(re.search(rf"\b{v}\b", text) for v in _TEMPLATES)
+        sql = self._with(text) if needed else text
+        return self.spark.sql(sql.replace(f"parquet.`{self.sf_dir}/{table}.parquet`", view))
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"fx_{name}" in _TEMPLATES:
             frame = self.view(f"fx_{name}")

@@ -131,12 +131,12 @@ VISITOR, BUSINESS, SECONDS = 3, 40, 43200
 
 
 def _walk(name, source, key, limit):
-    return f"""{name}_o AS (SELECT attempt_id, {key} AS key, epoch_us(ts) AS at, row_number() OVER (PARTITION BY {key} ORDER BY ts, attempt_id) AS rn FROM {source}),
-{name} AS (SELECT attempt_id, key, rn, at, [at] AS hits, true AS allowed FROM {name}_o WHERE rn = 1
-  UNION ALL SELECT o.attempt_id, o.key, o.rn, o.at,
-    CASE WHEN len(list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000)) < {limit} THEN list_append(list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000), o.at)
-      ELSE list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000) END,
-    len(list_filter(w.hits, lambda h: h > o.at - {SECONDS} * 1000000)) < {limit}
+    return f"""{name}_o AS (SELECT attempt_id, {key} AS key, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY {key} ORDER BY ts, attempt_id) AS rn FROM {source}),
+{name} AS (SELECT attempt_id, key, rn, at_us, [at_us] AS hits, true AS allowed FROM {name}_o WHERE rn = 1
+  UNION ALL SELECT o.attempt_id, o.key, o.rn, o.at_us,
+    CASE WHEN len(list_filter(w.hits, lambda h: h > o.at_us - {SECONDS}000000)) < {limit} THEN list_append(list_filter(w.hits, lambda h: h > o.at_us - {SECONDS}000000), o.at_us)
+      ELSE list_filter(w.hits, lambda h: h > o.at_us - {SECONDS}000000) END,
+    len(list_filter(w.hits, lambda h: h > o.at_us - {SECONDS}000000)) < {limit}
   FROM {name} w JOIN {name}_o o ON o.key = w.key AND o.rn = w.rn + 1)"""
 
 
@@ -156,8 +156,8 @@ def _(t):
 
 
 @query("rate_limit_suspects", f"""
-WITH c AS (SELECT business AS key, epoch_us(ts) AS at, count(*) OVER (PARTITION BY business ORDER BY ts RANGE BETWEEN INTERVAL {SECONDS * 1000000 - 1} MICROSECOND PRECEDING AND CURRENT ROW) AS trailing FROM fx_attempts)
-SELECT DISTINCT key, at, trailing FROM c WHERE trailing > 60""")
+WITH c AS (SELECT business AS key, epoch_us(ts) AS at_us, count(*) OVER (PARTITION BY business ORDER BY ts RANGE BETWEEN INTERVAL {SECONDS * 1000000 - 1} MICROSECOND PRECEDING AND CURRENT ROW) AS in_window FROM fx_attempts)
+SELECT DISTINCT key, at_us, in_window FROM c WHERE in_window > 60""")
 def _(t):
     out = limits.suspects(t.attempts, "business", 60, SECONDS)
-    return out.select("key", "at", "trailing")
+    return out.select("key", F.col("at").alias("at_us"), F.col("trailing").alias("in_window"))

@@ -244,8 +244,7 @@ def escalation_inputs(t):
         F.max(F.when(F.col("model_name") == "category_classifier", F.col("confidence"))).alias("category_confidence"),
         F.max(F.when(F.col("model_name") == "urgency_classifier", F.col("confidence"))).alias("urgency_confidence"),
     )
-    amount = k.ticket_order_lookup(t.tickets, t.orders).select("ticket_id", F.col("amount").cast("double").alias("order_amount"))
-    return labelled(t).join(conf, "ticket_id", "left").join(amount, "ticket_id", "left")
+    return k.with_order(labelled(t), t.orders).withColumn("order_amount", F.col("amount").cast("double")).join(conf, "ticket_id", "left")
 
 
 @query("escalation_reasons", f"WITH {_REASONS} SELECT ticket_id, CAST(i AS BIGINT) AS position, reasons[i] AS reason FROM r, unnest(generate_series(1, len(reasons))) AS u(i)")

@@ -1,0 +1 @@
+"""Continuous forms of intake, triage, metrics, limits and run tracking."""
