@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scale import widen
 from ..schema import MIN_CONFIDENCE, REFUND_THRESHOLD
+from .patterns import searchable
 from .sentiment import compound
 from .text import count_char, words_of_three
 
@@ -168,8 +170,8 @@ def is_shouting(text: Column) -> Column:
 
 def _condition(name: str, pattern: str | None, text: Column, score: Column) -> Column:
     if pattern is not None:
-        # i: any case, U: Unicode word boundaries, d: only a newline ends a line
-        return text.rlike(f"(?iUd){pattern}")
+        # U: Unicode word boundaries, d: only a newline ends a line
+        return F.lower(text).rlike(f"(?Ud){searchable(pattern)}")
     return {
         "shouting": is_shouting(text),
         "exclamation_burst": F.contains(text, F.lit("!!")) | (count_char(text, "!") >= 3),
@@ -207,7 +209,8 @@ def with_rules(df: DataFrame, text: str = "text") -> DataFrame:
     are evaluated once per row.
     """
     return (
-        df.withColumn("__compound", compound(F.col(text)))
+        widen(df)
+        .withColumn("__compound", compound(F.col(text)))
         .withColumn("fired", fired(F.col(text), F.col("__compound")))
         .drop("__compound")
         .withColumn("votes", voting(F.col("fired")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import documents as d
 from ..functions.text import content_fingerprint, doc_title, file_suffix, normalise_document, word_tokens
 from ..schema import MAX_FILE_BYTES, MAX_SECTIONS, SECTION_TOKENS
+from .scale import widen
 
 # Reasons shown for a refused file
 WRONG_TYPE = "Upload Markdown, text, HTML or PDF files."
@@ -37,7 +38,7 @@ def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             yield pd.DataFrame(rows, columns=[key, "title", "text", "error"])
 
     kind = dict(pages.dtypes)[key]
-    raw = pages.select(key, html).mapInPandas(read, f"{key} {kind}, title string, text string, error string")
+    raw = widen(pages.select(key, html)).mapInPandas(read, f"{key} {kind}, title string, text string, error string")
     return raw.withColumn("text", normalise_document("text"))
 
 
@@ -126,7 +127,7 @@ def chunk_sections(docs: DataFrame, limit: int = SECTION_TOKENS, count: Callable
             ]
             yield pd.DataFrame(rows, columns=["document_id", "tenant_id", "position", "title", "content"])
 
-    source = docs.select("document_id", "tenant_id", "title", "content")
+    source = widen(docs.select("document_id", "tenant_id", "title", "content"))
     return source.mapInPandas(cut, "document_id bigint, tenant_id int, position int, title string, content string")
 
 

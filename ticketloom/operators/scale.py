@@ -109,9 +109,22 @@ def salted_join(
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a frame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     """Mark a side for broadcast only when its estimated size stays under the limit."""
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
+
+
+def widen(df: DataFrame, limit_bytes: int = 256 << 20) -> DataFrame:
+    """Deal a small input over all cores before an expensive per-row step.
+
+    A small file is one split, so one core would do all the work. Only inputs whose files are
+    estimated under the limit are moved; a large scan already has its own splits and keeps them.
+    """
+    if df.isStreaming:
+        return df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit_bytes else df

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators import corpus as c
 from ..operators.scale import oldest
+from ..session import shared_dir
+from ..sources import writers
 from .registry import query
 from .text import SKELETON
 
@@ -136,3 +138,11 @@ def _(t):
 @query("first_of_source", "SELECT source, min(row_id) AS row_id, arg_min(category, row_id) AS category FROM fx_corpus GROUP BY source")
 def _(t):
     return oldest(t.corpus, ["source"], ["row_id"], ["row_id", "category"])
+
+
+@query("dataset_sink", f"WITH {_SPLIT} SELECT split, category, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS letters FROM split GROUP BY ALL")
+def _(t):
+    path = shared_dir(t.spark, "dataset")
+    writers.dataset(c.grouped_split(t.corpus), path)
+    back = t.spark.read.parquet(path)
+    return back.groupBy("split", "category", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"))

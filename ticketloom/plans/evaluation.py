@@ -6,6 +6,8 @@ from ..functions import rules
 from ..functions.vectors import weighted_argmax
 from ..operators import evaluate as ev, feedback as fb
 from ..schema import URGENCIES
+from ..session import shared_dir
+from ..sources import readers, writers
 from .registry import query
 from .text import SPACE, labelled, messages, squeezed, _FIRED, MESSAGES
 
@@ -198,3 +200,12 @@ def _(t):
 def _(t):
     weak = rules.with_rules(messages(t)).select("text", F.col("weak_label").alias("label"))
     return fb.training_rows(weak, fb.feedback_rows(export(t), "urgency"), 30)
+
+
+@query("corrections_sink", f"WITH {_EXPORT} SELECT tenant_id, count(*) AS rows, count(*) FILTER (category <> '') AS category_labels FROM export GROUP BY tenant_id")
+def _(t):
+    path = shared_dir(t.spark, "corrections")
+    for _version in ("first", "replaced"):
+        writers.corrections(export(t), path)
+    back = readers.corrections(t.spark, path).join(t.tickets.select(F.col("ticket_id").cast("string").alias("ticket_id"), "tenant_id"), "ticket_id")
+    return back.groupBy("tenant_id").agg(F.count("*").alias("rows"), F.count_if(F.col("category") != "").alias("category_labels"))
