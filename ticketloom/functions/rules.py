@@ -275,12 +275,8 @@ def rule_coverage(labelled: DataFrame) -> DataFrame:
 
 def label_distribution(labelled: DataFrame, column: str = "weak_label") -> DataFrame:
     counts = labelled.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.lit(1).alias("one"))
-    return (
-        counts.withColumn("one", F.lit(1))
-        .join(F.broadcast(total), "one")  # one row
-        .select("label", "n", (F.col("n").cast("double") / F.col("total")).alias("share"))
-    )
+    total = labelled.agg(F.count("*").alias("total")).scalar()
+    return counts.select("label", "n", (F.col("n").cast("double") / total).alias("share"))
 
 
 def rule_conflicts(labelled: DataFrame) -> DataFrame:

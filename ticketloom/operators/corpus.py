@@ -31,12 +31,8 @@ def dedupe_text(rows: DataFrame, text: str = "text", order: str = "row_id") -> D
 def balanced_weights(rows: DataFrame, label: str = "category") -> DataFrame:
     """Adds `weight` = rows / (classes x rows of the class); multiplies an existing weight."""
     counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
-    totals = counts.agg(F.sum("__n").alias("__rows"), F.count("*").alias("__classes"), F.lit(1).alias("__one"))
-    factors = (
-        counts.withColumn("__one", F.lit(1))
-        .join(F.broadcast(totals), "__one")  # one row
-        .select(label, (F.col("__rows") / (F.col("__classes") * F.col("__n"))).alias("__factor"))
-    )
+    average = counts.agg((F.sum("__n") / F.count("*")).alias("average")).scalar()
+    factors = counts.select(label, (average / F.col("__n")).alias("__factor"))
     base = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
     # one row per class; Spark broadcasts it by its measured size
     return rows.join(factors, label).withColumn("weight", base * F.col("__factor")).drop("__factor")

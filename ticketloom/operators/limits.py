@@ -18,6 +18,8 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from ..session import checkpointed
+
 
 def trailing_counts(attempts: DataFrame, key: str, seconds: int) -> DataFrame:
     """Per (key, instant): attempts `n` and attempts `trailing` in the window ending there.
@@ -58,36 +60,43 @@ def _stretches(instants: DataFrame, limit: int) -> DataFrame:
     return instants.join(with_context, ["key", "bucket"])
 
 
-def fold_stretch(limit: int, width: int):
-    """Fold one stretch: allowed attempts per instant. Holds at most `limit` timestamps."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        held: deque[tuple[int, int]] = deque()
-        total, allowed = 0, []
-        for at, n in zip(group["at"].to_numpy(), group["n"].to_numpy()):
-            while held and held[0][0] <= at - width:
-                total -= held.popleft()[1]
-            take = max(0, min(int(n), limit - total))
-            if take:
-                held.append((at, take))
-                total += take
-            allowed.append(take)
-        own = group["bucket"].to_numpy() >= group["stretch"].to_numpy()
-        return pd.DataFrame({"key": group["key"], "at": group["at"], "allowed": allowed})[own]
+def fold_stretches(limit: int, width: int):
+    """Allowed attempts per instant, for rows sorted by (key, stretch, at).
+
+    Goes through any number of stretches in one pass and keeps at most `limit` timestamps, whatever
+    the length of a stretch.
+    """
+
+    def fold(batches):
+        current, held, total = None, deque(), 0
+        for batch in batches:
+            allowed = []
+            rows = zip(*(batch[c].tolist() for c in ("key", "stretch", "at", "n")))
+            for key, stretch, at, n in rows:
+                if (key, stretch) != current:
+                    current, held, total = (key, stretch), deque(), 0
+                while held and held[0][0] <= at - width:
+                    total -= held.popleft()[1]
+                take = max(0, min(n, limit - total))
+                if take:
+                    held.append((at, take))
+                    total += take
+                allowed.append(take)
+            out = batch[["key", "at", "n"]].assign(allowed=pd.Series(allowed, index=batch.index, dtype="int64"))
+            yield out[(batch["bucket"] >= batch["stretch"]) & (out["allowed"] < out["n"])]
 
     return fold
 
 
 def decisions(attempts: DataFrame, key: str, limit: int, seconds: int, order: str = "attempt_id") -> DataFrame:
     """Every attempt with `allowed`. At one instant, attempts are taken in `order`."""
-    instants = trailing_counts(attempts, key, seconds)
-    folded = (
-        _stretches(instants, limit)
-        .groupBy("key", "stretch")
-        .applyInPandas(fold_stretch(limit, seconds * 1_000_000), "key string, at bigint, allowed bigint")
+    refused = (
+        _stretches(trailing_counts(attempts, key, seconds), limit)
+        .select("key", "stretch", "bucket", "at", "n")
+        .repartition("key", "stretch")
+        .sortWithinPartitions("key", "stretch", "at")
+        .mapInPandas(fold_stretches(limit, seconds * 1_000_000), "key string, at bigint, n bigint, allowed bigint")
     )
-    refused = folded.join(instants.select("key", "at", "n"), ["key", "at"]).filter(F.col("allowed") < F.col("n"))
     marked = attempts.withColumns({"__key": F.col(key), "__at": F.unix_micros("ts")}).join(
         refused.select(F.col("key").alias("__key"), F.col("at").alias("__at"), F.col("allowed").alias("__room")), ["__key", "__at"], "left"
     )
@@ -101,9 +110,13 @@ def decisions(attempts: DataFrame, key: str, limit: int, seconds: int, order: st
 def contact_decisions(
     attempts: DataFrame, visitor_limit: int = 5, business_limit: int = 100, seconds: int = 3600
 ) -> DataFrame:
-    """Both contact-form limits in sequence; the business is only asked when the visitor may send."""
+    """Both contact-form limits in sequence; the business is only asked when the visitor may send.
+
+    The second limiter reads the first one's verdicts several times, so they are written once.
+    """
     keyed = attempts.withColumn("visitor_key", F.concat_ws(":", "business", "visitor"))
     first = decisions(keyed, "visitor_key", visitor_limit, seconds).withColumnRenamed("allowed", "visitor_ok").drop("visitor_key")
+    first = checkpointed(first, "visitor-limit")
     second = decisions(first.filter("visitor_ok").drop("visitor_ok"), "business", business_limit, seconds)
     return (
         first.filter("NOT visitor_ok")

@@ -76,13 +76,8 @@ def spread(df: DataFrame, keys: Sequence[str], by: Column, pieces: int) -> Colum
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01) -> DataFrame:
     """Keys holding at least `share` of all rows: at most 1/share of them, whatever the data."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = counts.agg((F.sum("__n") * F.lit(share)).alias("__floor"), F.lit(1).alias("__one"))
-    return (
-        counts.withColumn("__one", F.lit(1))
-        .join(F.broadcast(total), "__one")  # one row
-        .filter("__n >= __floor")
-        .select(*keys)
-    )
+    floor = df.agg((F.count("*") * F.lit(share)).alias("floor")).scalar()
+    return counts.filter(F.col("__n") >= floor).select(*keys)
 
 
 def salted_join(
