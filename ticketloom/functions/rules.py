@@ -224,7 +224,7 @@ def escalation_reasons(
     """Every reason to escalate, in rule order, from the columns urgency, urgency_confidence,
     category, category_confidence, order_amount and signals. Null confidences fire nothing."""
     c = F.col
-    two = lambda x: F.format_string("%.2f", x.cast("double"))
+    two = lambda x: F.when(x.isNotNull(), F.format_string("%.2f", x.cast("double")))
     low = lambda kind: F.when(
         c(f"{kind}_confidence") < min_confidence,
         F.concat(F.lit(f"Low {kind} confidence ("), two(c(f"{kind}_confidence")), F.lit(f" < {min_confidence})")),

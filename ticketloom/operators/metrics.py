@@ -14,11 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import utc_day
 from ..schema import CATEGORIES, ORDER_STATUSES, TICKET_STATUSES
 
-ESCALATED = F.count_if(F.col("needs_escalation"))
-DECIDED = F.count("needs_escalation")
 OUTCOMES = ("approved_as_is", "edited")
 
 
+def escalated() -> Column:
+    return F.count_if(F.col("needs_escalation")).alias("escalated")
+
+
+def decided(name: str = "decided") -> Column:
+    """Tickets with a decision: the flag is set, either way."""
+    return F.count("needs_escalation").alias(name)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole as a double, null where the whole is zero."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
@@ -46,7 +53,7 @@ def tickets_by_category(tickets: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def escalation_rate(tickets: DataFrame, tenants: DataFrame) -> DataFrame:
-    counts = tickets.groupBy("tenant_id").agg(DECIDED.alias("decided"), ESCALATED.alias("escalated"))
+    counts = tickets.groupBy("tenant_id").agg(decided(), escalated())
     return (
         tenants.select("tenant_id")
         .join(counts, "tenant_id", "left")
@@ -70,7 +77,7 @@ def escalation_by_day(tickets: DataFrame, tenants: DataFrame, today: date, days:
     counts = (
         tickets.filter((F.col("created_at") >= since) & (F.col("created_at") < until))
         .groupBy("tenant_id", utc_day("created_at").alias("day"))
-        .agg(DECIDED.alias("processed"), ESCALATED.alias("escalated"))
+        .agg(decided("processed"), escalated())
     )
     spine = tenants.select("tenant_id", F.explode(F.sequence(F.lit(start), F.lit(today))).alias("day"))
     return spine.join(counts, ["tenant_id", "day"], "left").select(
@@ -166,7 +173,7 @@ def metrics_summary(tickets: DataFrame, reviewed: DataFrame, tenants: DataFrame,
         [["tenant_id"], ["tenant_id", "status"], ["tenant_id", "category"], ["tenant_id", "day"]],
         "tenant_id", "status", "category", "day",
     ).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("n"), DECIDED.alias("decided"), ESCALATED.alias("escalated"),
+        F.grouping_id().alias("gid"), F.count("*").alias("n"), decided(), escalated(),
     )
     # grouping_id has one bit per column (tenant, status, category, day), 1 = rolled up
     def lookup(gid: int, key: str, *values: str) -> Column:
