@@ -79,7 +79,9 @@ def grouped_split(rows: DataFrame, seed: str = "42", test: float = 0.15, val: fl
     share = F.col("__end") / F.col("__total")
     split = F.when(share <= test, "test").when(share <= test + val, "val").otherwise("train")
     assigned = ordered.join(totals, "category").select("category", "grp", split.alias("split"))
-    return salted_join(rows, assigned, ["category", "grp"], by="row_id")
+    floor = sizes.agg((F.sum("__size") * F.lit(0.01)).alias("floor")).scalar()
+    hot = sizes.filter(F.col("__size") >= floor).select("category", "grp")  # at most 100 groups
+    return salted_join(rows, assigned, ["category", "grp"], by="row_id", hot=hot)
 
 
 def stratified_folds(rows: DataFrame, label: str, folds: int = 5, seed: str = "42") -> DataFrame:

@@ -283,6 +283,11 @@ def chart_shares(by_category: DataFrame) -> DataFrame:
     )
 
 
+def outcome_totals(outcomes: DataFrame) -> DataFrame:
+    """Review outcomes with escalated and not escalated drafts added up."""
+    return outcomes.withColumn("total", F.col("escalated") + F.col("not_escalated"))
+
+
 def tenant_overview(tenants: DataFrame, users: DataFrame, tickets: DataFrame) -> DataFrame:
     """Users and tickets per tenant. Each side is counted before the join, so nothing fans out."""
     count = lambda df, name: df.groupBy("tenant_id").agg(F.count("*").alias(name))

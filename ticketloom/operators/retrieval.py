@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from ..schema import TOP_K
 
 BLOCK_ROWS = 8192
+QUERY_SLICE = 256  # a slice times a block is the largest matrix a task holds
 TIE_DIGITS = 9  # similarities equal to this many digits are ties, broken by entry id
 
 
@@ -28,34 +29,39 @@ def _pieces(df: DataFrame, keys: Sequence[str], row_id: str, rows: int, name: st
     return df.join(counts, list(keys)).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), counts
 
 
-def best_in_cell(k: int, exclude_same: bool):
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    matrix = np.stack(vectors.to_numpy()).astype("float64")
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def best_in_cell(k: int):
+    """The k best entries per query of one cell, a slice of queries at a time."""
+
     def cell(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "entry_id", "similarity"]
-        if queries.empty or entries.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(columns, ("int64", "int64", "float64"))})
-        q = np.stack(queries["embedding"].to_numpy()).astype("float64")
-        e = np.stack(entries["embedding"].to_numpy()).astype("float64")
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
-        ids, query_ids = entries["entry_id"].to_numpy(), queries["query_id"].to_numpy()
-        sim = np.round(q @ e.T, TIE_DIGITS)
-        if exclude_same:
-            sim[query_ids[:, None] == ids[None, :]] = -np.inf
-        keep = min(k, sim.shape[1])
-        # everything at least as similar as the k-th best, so ties at the edge are all seen
-        edge = np.partition(sim, sim.shape[1] - keep, axis=1)[:, sim.shape[1] - keep]
-        row, col = np.nonzero((sim >= edge[:, None]) & np.isfinite(sim))
-        order = np.lexsort((ids[col], -sim[row, col], row))
-        row, col = row[order], col[order]
-        starts = np.searchsorted(row, row)  # first index of each row's run
-        chosen = np.arange(len(row)) - starts < k
-        row, col = row[chosen], col[chosen]
-        return pd.DataFrame({"query_id": query_ids[row], "entry_id": ids[col], "similarity": sim[row, col]})
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})]
+        if len(queries) and len(entries):
+            units, ids = _unit_rows(entries["embedding"]), entries["entry_id"].to_numpy()
+            for start in range(0, len(queries), QUERY_SLICE):
+                part = queries.iloc[start : start + QUERY_SLICE]
+                found.append(_best(part["query_id"].to_numpy(), np.round(_unit_rows(part["embedding"]) @ units.T, TIE_DIGITS), ids, k))
+        return pd.concat(found)
 
     return cell
 
 
-def _grid(queries: DataFrame, entries: DataFrame, keys: Sequence[str], k: int, rows: int, exclude_same: bool) -> DataFrame:
+def _best(query_ids: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    keep = min(k, similarity.shape[1])
+    # everything at least as similar as the k-th best, so ties at the edge are all seen
+    edge = np.partition(similarity, similarity.shape[1] - keep, axis=1)[:, similarity.shape[1] - keep]
+    row, col = np.nonzero(similarity >= edge[:, None])
+    order = np.lexsort((ids[col], -similarity[row, col], row))
+    row, col = row[order], col[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k  # position within its own query
+    row, col = row[first], col[first]
+    return pd.DataFrame({"query_id": query_ids[row], "entry_id": ids[col], "similarity": similarity[row, col]})
+
+
+def _grid(queries: DataFrame, entries: DataFrame, keys: Sequence[str], k: int, rows: int) -> DataFrame:
     """Candidates (query_id, entry_id, similarity): the k best entries of every grid cell."""
     batches, n_batches = _pieces(queries, keys, "query_id", rows, "batch")
     blocks, n_blocks = _pieces(entries, keys, "entry_id", rows, "block")
@@ -66,7 +72,7 @@ def _grid(queries: DataFrame, entries: DataFrame, keys: Sequence[str], k: int, r
     return (
         left.groupBy(*cell)
         .cogroup(right.groupBy(*cell))
-        .applyInPandas(best_in_cell(k, exclude_same), "query_id bigint, entry_id bigint, similarity double")
+        .applyInPandas(best_in_cell(k), "query_id bigint, entry_id bigint, similarity double")
     )
 
 
@@ -83,7 +89,7 @@ def search_topk(queries: DataFrame, entries: DataFrame, k: int = TOP_K, rows: in
     """The k entries of the query's tenant closest to each query: (query_id, entry_id, rank, similarity)."""
     q = queries.select("query_id", "tenant_id", "embedding")
     e = entries.select("entry_id", "tenant_id", "embedding")
-    return _merge(_grid(q, e, ["tenant_id"], k, rows, False), k)
+    return _merge(_grid(q, e, ["tenant_id"], k, rows), k)
 
 
 def search_cells(
@@ -104,7 +110,7 @@ def search_cells(
 
     q = queries.select("query_id", "tenant_id", "embedding", F.explode(nearest("embedding")).alias("cell"))
     e = model.transform(vectors).select("entry_id", "tenant_id", "embedding", F.col("prediction").alias("cell"))
-    return _merge(_grid(q, e, ["tenant_id", "cell"], k, rows, False), k)
+    return _merge(_grid(q, e, ["tenant_id", "cell"], k, rows), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -157,7 +163,7 @@ def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, encoder=None)
 
     from .scale import salted_join
 
-    keyed = df.withColumns({"__key": F.sha2(F.col(text).cast("binary"), 256), "__row": F.monotonically_increasing_id()})
+    keyed = df.withColumns({"__key": F.sha2(F.col(text).cast("binary"), 256), "__row": F.xxhash64(*df.columns)})
     distinct = keyed.groupBy("__key").agg(F.first(text).alias("text"))
     vectors = encoder(distinct).select("__key", "embedding")
     return salted_join(keyed, vectors, ["__key"], "__row").drop("__key", "__row")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import STEPS
-from .scale import newest, oldest, running_sum
+from .scale import newest, running_sum
 
 
 def error_of(output: Column) -> Column:
@@ -15,14 +15,12 @@ def error_of(output: Column) -> Column:
 def numbered_logs(logs: DataFrame) -> DataFrame:
     """Logs with the number of the run they belong to.
 
-    A triage log opens a run, and so does a ticket's first log whatever its step. Run numbers are a
-    running count of openings, summed per UTC day before they are numbered inside a day.
+    A triage log opens a run, and so does a ticket's first log whatever its step: a ticket that
+    does not start with triage counts one more. Run numbers are a running count of triage logs, summed
+    per UTC day before they are numbered inside a day.
     """
-    first = oldest(logs, ["ticket_id"], ["created_at", "log_id"], ["log_id"]).withColumnRenamed("log_id", "first_log")
-    opens = ((F.col("agent_name") == "triage") | (F.col("log_id") == F.col("first_log"))).cast("bigint")
-    return running_sum(
-        logs.join(first, "ticket_id"), ["ticket_id"], ["created_at", "log_id"], F.to_date("created_at"), opens, "run_no"
-    ).drop("first_log")
+    triage = (F.col("agent_name") == "triage").cast("bigint")
+    return running_sum(logs, ["ticket_id"], ["created_at", "log_id"], F.to_date("created_at"), triage, "run_no", head=1 - triage)
 
 
 def agent_runs(logs: DataFrame) -> DataFrame:

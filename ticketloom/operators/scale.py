@@ -38,17 +38,25 @@ def running_sum(
     bucket: Column,
     value: Column | None = None,
     name: str = "running",
+    head: Column | None = None,
 ) -> DataFrame:
     """Running sum of `value` (1 by default, so a row number) within `group` in `order`.
 
     `bucket` must not decrease along `order`; it cuts a hot group into pieces that are summed and
-    numbered in parallel. Group columns must not be null.
+    numbered in parallel. `head`, read from the first row of a group, is added to the whole group.
+    Group columns must not be null.
     """
     value = F.lit(1).cast("bigint") if value is None else value
     keyed = df.withColumn("__bucket", bucket).withColumn("__value", value)
-    totals = keyed.groupBy(*group, "__bucket").agg(F.sum("__value").alias("__total"))
-    before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*group, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    parts = [F.sum("__value").alias("__total")]
+    if head is not None:
+        parts.append(F.min_by(head, F.struct(*order)).alias("__head"))
+    totals = keyed.groupBy(*group, "__bucket").agg(*parts)
+    along = W.partitionBy(*group).orderBy("__bucket")
+    offset = F.coalesce(F.sum("__total").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if head is not None:
+        offset = offset + F.first("__head").over(along.rowsBetween(W.unboundedPreceding, 0))
+    offsets = totals.select(*group, "__bucket", offset.alias("__offset"))
     inside = W.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         keyed.join(offsets, [*group, "__bucket"])
@@ -102,6 +110,17 @@ def salted_join(
     return left.drop("__hot").join(right.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
 
 
+def left_join_nullable(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: str, by: str, pieces: int = 64) -> DataFrame:
+    """Left join on keys of which `nullable` is often null on the left.
+
+    A null key matches nothing, yet all of them would hash to one partition. They are dealt out by
+    the row's own id; the extra key is always 0 on rows that can match.
+    """
+    dealt = left.withColumn("__deal", F.when(F.col(nullable).isNull(), F.pmod(F.xxhash64(by), F.lit(pieces))).otherwise(F.lit(0).cast("bigint")))
+    matched = right.withColumn("__deal", F.pmod(F.xxhash64(nullable), F.lit(1)))  # 0, but not a constant to fold away
+    return dealt.join(matched, [*keys, "__deal"], "left").drop("__deal")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a frame."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

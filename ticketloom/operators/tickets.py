@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import CATEGORIES, CHANNELS, TICKET_STATUSES, URGENCIES
-from .scale import newest, running_sum
+from .scale import left_join_nullable, newest, running_sum
 
 # Accepted address and slug patterns, field lengths of the contact form
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -123,7 +123,7 @@ def with_order(tickets: DataFrame, orders: DataFrame) -> DataFrame:
         "tenant_id", "order_id", F.col("status").alias("order_status"), "tracking_number", "amount", "item_name"
     )
     result = F.when(F.col("order_id").isNotNull(), F.when(F.col("order_status").isNull(), "no order found").otherwise("found"))
-    return tickets.join(facts, ["tenant_id", "order_id"], "left").withColumn("result", result)
+    return left_join_nullable(tickets, facts, ["tenant_id", "order_id"], "order_id", by="ticket_id").withColumn("result", result)
 
 
 def ticket_order_lookup(tickets: DataFrame, orders: DataFrame) -> DataFrame:
@@ -141,10 +141,9 @@ def invalid_refs(tickets: DataFrame, customers: DataFrame, orders: DataFrame) ->
         .when(F.col("order_id").isNotNull() & F.col("order_owner").isNull(), F.lit("order not found"))
         .when(F.col("order_owner") != F.col("customer_id"), F.lit("order of another customer"))
     )
+    known = tickets.select("ticket_id", "tenant_id", "customer_id", "order_id").join(c, ["tenant_id", "customer_id"], "left")
     return (
-        tickets.select("ticket_id", "tenant_id", "customer_id", "order_id")
-        .join(c, ["tenant_id", "customer_id"], "left")
-        .join(o, ["tenant_id", "order_id"], "left")
+        left_join_nullable(known, o, ["tenant_id", "order_id"], "order_id", by="ticket_id")
         .withColumn("reason", reason)
         .filter("reason IS NOT NULL")
         .select("ticket_id", "tenant_id", "reason")
@@ -304,7 +303,7 @@ def pending_draft(tickets: DataFrame, drafts: DataFrame) -> DataFrame:
 def apply_review_actions(tickets: DataFrame, drafts: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold review actions into ticket state; returns (tickets, verdict per action).
 
-    Actions: approve, edit (approve with a text), correct, rerun; ordered by (at, action_id). The
+    Actions: approve, edit (approve with the column `text`), correct, rerun; ordered by (at, action_id). The
     newest draft is fixed for the batch and no new draft appears while it is folded, so each
     verdict follows from two facts that are plain aggregates per ticket: the first approval and
     the first rerun. A ticket resolved by its first valid approval accepts one later rerun; a
@@ -314,8 +313,11 @@ def apply_review_actions(tickets: DataFrame, drafts: DataFrame, actions: DataFra
     key = ["tenant_id", "ticket_id"]
     when = F.struct("at", "action_id")
     approving = F.col("action").isin("approve", "edit")
+    if "text" not in actions.columns:
+        actions = actions.withColumn("text", F.lit(None).cast("string"))
     first = actions.groupBy(*key).agg(
         F.min(F.when(approving, when)).alias("first_approve"),
+        F.min_by(F.when(F.col("action") == "edit", F.col("text")), F.when(approving, when)).alias("first_text"),
         F.min(F.when(F.col("action") == "rerun", when)).alias("first_rerun"),
     )
     pending = pending_draft(tickets, drafts).select(*key, "draft_id", "conflict")
@@ -360,6 +362,7 @@ def apply_review_actions(tickets: DataFrame, drafts: DataFrame, actions: DataFra
         *key,
         F.col("new_status").alias("status"),
         F.when(F.col("approval").isNotNull(), F.col("draft_id")).alias("approved_draft_id"),
+        F.when(F.col("approval").isNotNull(), F.col("first_text")).alias("edited_text"),
         "corrected_category",
         "corrected_urgency",
         F.when(fixed, F.when(kept, F.col("fix.reviewer_id"))).otherwise(F.col("corrected_by")).alias("corrected_by"),

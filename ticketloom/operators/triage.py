@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rules import with_decision, with_rules
 from ..functions.text import mask_contact, ticket_text
+from .scale import left_join_nullable
 from .tickets import with_order
 
 FAILED = "Agent pipeline failed ({0}); review manually or rerun"
@@ -50,10 +51,11 @@ def grounded_prompts(tickets: DataFrame, orders: DataFrame, hits: DataFrame, ent
     The internal order id is left out. Each ticket has at most k entries, so the collected list is small.
     """
     o = orders.select(
-        "tenant_id", "order_id", "status", "tracking_number", "amount", "expected_delivery", "item_name", "order_date"
-    )
+        "tenant_id", "order_id", "status", "tracking_number", F.col("amount").cast("double").alias("amount"),
+        "expected_delivery", "item_name", "order_date",
+    )
     fields = ("status", "tracking_number", "amount", "expected_delivery", "item_name", "order_date")
-    shown = F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f"o.{f}").cast("string"), F.lit("None"))) for f in fields])
+    shown = F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit("None"))) for f in fields])
     entry = F.format_string('<entry title="%s" similarity="%.2f">\n%s\n</entry>', "title", "similarity", "content")
     found = (
         hits.join(entries.select("entry_id", "title", "content"), "entry_id")
@@ -61,17 +63,14 @@ def grounded_prompts(tickets: DataFrame, orders: DataFrame, hits: DataFrame, ent
         .agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("line")))).alias("h"))
         .select("ticket_id", F.array_join(F.transform("h", lambda x: x["line"]), "\n").alias("lines"))
     )
-    joined = (
-        tickets.alias("t")
-        .join(o.alias("o"), (F.col("t.tenant_id") == F.col("o.tenant_id")) & (F.col("t.order_id") == F.col("o.order_id")), "left")
-        .join(found.alias("f"), F.col("t.ticket_id") == F.col("f.ticket_id"), "left")
-    )
+    asked = tickets.select("tenant_id", "ticket_id", "order_id", "subject", "body")
+    joined = left_join_nullable(asked, o, ["tenant_id", "order_id"], "order_id", by="ticket_id").join(found, "ticket_id", "left")
     prompt = F.concat(
-        F.lit("<customer_message>\nSubject: "), mask_contact("t.subject"), F.lit("\n\n"), mask_contact("t.body"),
+        F.lit("<customer_message>\nSubject: "), mask_contact("subject"), F.lit("\n\n"), mask_contact("body"),
         F.lit("\n</customer_message>\n\n<order>\n"),
-        F.when(F.col("o.order_id").isNull(), "No order is linked to this ticket.").otherwise(shown),
+        F.when(F.col("order_date").isNull(), "No order is linked to this ticket.").otherwise(shown),
         F.lit("\n</order>\n\n<knowledge_base>\n"),
-        F.coalesce("f.lines", F.lit("No knowledge-base entries were found.")),
+        F.coalesce("lines", F.lit("No knowledge-base entries were found.")),
         F.lit("\n</knowledge_base>\n\nWrite the reply to this customer."),
     )
-    return joined.select("t.tenant_id", "t.ticket_id", prompt.alias("prompt"))
+    return joined.select("tenant_id", "ticket_id", prompt.alias("prompt"))

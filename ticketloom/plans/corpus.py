@@ -146,3 +146,21 @@ def _(t):
     writers.dataset(c.grouped_split(t.corpus), path)
     back = t.spark.read.parquet(path)
     return back.groupBy("split", "category", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"))
+
+
+# the second write is refused, a reset of the English rows leaves the other partitions alone
+@query("sink_guard", """
+SELECT category, count(*) AS n, CAST(sum(CASE category WHEN 'en' THEN 0 ELSE length(text) END) AS BIGINT) AS letters, true AS refused FROM fx_corpus GROUP BY category""")
+def _(t):
+    path = shared_dir(t.spark, "guard")
+    rows = t.corpus.select("row_id", "category", F.length("text").alias("letters"))
+    writers.guarded(rows, path, partition_by=("category",))
+    try:
+        writers.guarded(rows, path, partition_by=("category",))
+        refused = False
+    except writers.AlreadyExists:
+        refused = True
+    blank = rows.filter("category = 'en'").withColumn("letters", F.lit(0))
+    writers.guarded(blank, path, reset=True, partition_by=("category",))
+    back = t.spark.read.schema("row_id bigint, letters int, category string").parquet(path)
+    return back.groupBy("category").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"), F.lit(refused).alias("refused"))

@@ -143,6 +143,15 @@ def _(t):
     return m.chart_shares(m.tickets_by_category(t.tickets, t.tenants))
 
 
+@query("outcome_totals", f"""
+WITH {_REVIEWED}
+SELECT n.tenant_id, o.outcome, count(r.ticket_id) FILTER (r.flagged) AS escalated, count(r.ticket_id) FILTER (NOT r.flagged) AS not_escalated, count(r.ticket_id) AS total
+FROM fx_tenants n CROSS JOIN (VALUES ('approved_as_is', false), ('edited', true)) o(outcome, edited)
+LEFT JOIN reviewed r ON r.tenant_id = n.tenant_id AND r.edited = o.edited GROUP BY n.tenant_id, o.outcome""")
+def _(t):
+    return m.outcome_totals(m.review_outcomes(reviewed(t), t.tenants))
+
+
 @query("tenant_overview", """
 SELECT n.tenant_id, n.slug, n.name, count(DISTINCT u.user_id) AS users, (SELECT count(*) FROM fx_tickets t WHERE t.tenant_id = n.tenant_id) AS tickets
 FROM fx_tenants n LEFT JOIN fx_users u ON u.tenant_id = n.tenant_id GROUP BY ALL""")

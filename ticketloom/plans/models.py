@@ -85,7 +85,7 @@ def _(t):
     return oof.drop("proba")
 
 
-@query("batch_predictions")
+@query("batch_triage")
 def _(t):
     sets = training_sets(t)
     model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(2.0,), max_iter=20)

@@ -232,6 +232,7 @@ def _actions(t):
     )
     return _correction_requests(t).withColumn("x", F.explode(rows)).select(
         "tenant_id", "ticket_id", "new_category", "new_urgency", "reviewer_id", "at",
+        F.concat(F.lit("text of "), F.col("x.action")).alias("text"),
         F.col("x.action").alias("action"), (F.col("ticket_id") * 10 + F.col("x.step")).alias("action_id"),
     )
 
@@ -263,11 +264,12 @@ walk AS (
 
 
 @query("apply_review_actions", _FOLD + """
-SELECT ticket_id, status, approved_draft_id, corrected_category, corrected_urgency FROM walk
+SELECT ticket_id, status, approved_draft_id, corrected_category, corrected_urgency,
+  (SELECT CASE WHEN y.action = 'edit' THEN 'text of edit' END FROM walk y WHERE y.ticket_id = walk.ticket_id AND y.action IN ('approve', 'edit') AND y.verdict = 'applied') AS edited_text FROM walk
 WHERE rn = (SELECT max(x.rn) FROM walk x WHERE x.ticket_id = walk.ticket_id)""")
 def _(t):
     state, _verdicts = k.apply_review_actions(t.tickets, t.drafts, _actions(t))
-    return state.select("ticket_id", "status", "approved_draft_id", "corrected_category", "corrected_urgency")
+    return state.select("ticket_id", "status", "approved_draft_id", "corrected_category", "corrected_urgency", "edited_text")
 
 
 @query("review_action_verdicts", _FOLD + "SELECT action_id, ticket_id, action, verdict FROM walk WHERE rn > 0")
