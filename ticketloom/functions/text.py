@@ -26,6 +26,11 @@ def squeeze(text: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
 
 
+def strip(text: ColumnOrName) -> Column:
+    """Without whitespace of any kind at either end."""
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+\z", "")
+
+
 def leak_key(text: ColumnOrName) -> Column:
     """Comparison key for evaluation texts: whitespace collapsed, trimmed, lower case."""
     return F.lower(squeeze(text))
@@ -72,7 +77,9 @@ PHONE_DIGITS = (9, 15)
 
 
 def mask_emails(text: ColumnOrName) -> Column:
-    return F.regexp_replace(_c(text), "(?U)" + EMAIL_ADDRESS, "[email]")
+    # most texts hold no address; looking for the sign is far cheaper than trying the pattern
+    masked = F.regexp_replace(_c(text), "(?U)" + EMAIL_ADDRESS, "[email]")
+    return F.when(F.contains(_c(text), F.lit("@")), masked).otherwise(_c(text))
 
 
 def mask_contact(text: ColumnOrName) -> Column:
@@ -81,7 +88,7 @@ def mask_contact(text: ColumnOrName) -> Column:
     The text is cut at every phone-shaped match and put together again, so a match with the wrong
     number of digits keeps its own spelling.
     """
-    phone = "(?U)" + PHONE_NUMBER
+    phone = r"(?U)(?=[+(\d])" + PHONE_NUMBER  # a number starts with one of these
     masked = mask_emails(text)
     gaps = F.split(masked, phone, -1)
     hits = F.regexp_extract_all(masked, F.lit(phone), F.lit(0))
@@ -91,7 +98,7 @@ def mask_contact(text: ColumnOrName) -> Column:
         shown = F.when(digits.between(*PHONE_DIGITS), F.lit("[phone]")).otherwise(F.coalesce(hit, F.lit("")))
         return F.concat(gap, shown)
 
-    return F.array_join(F.zip_with(gaps, hits, stitch), "")
+    return F.when(masked.rlike(phone), F.array_join(F.zip_with(gaps, hits, stitch), "")).otherwise(masked)
 
 
 def content_fingerprint(text: ColumnOrName) -> Column:
@@ -137,9 +144,7 @@ def doc_title(metadata_title: ColumnOrName, text: ColumnOrName, filename: Column
 def normalise_document(text: ColumnOrName) -> Column:
     """Unix line ends, no blanks before them, at most one empty line, no outer whitespace."""
     unix = F.regexp_replace(_c(text), "\r\n?", "\n")
-    return F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(unix, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"), r"(?U)^\s+|\s+\z", ""
-    )
+    return strip(F.regexp_replace(F.regexp_replace(unix, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
 
 def word_tokens(text: ColumnOrName) -> Column:

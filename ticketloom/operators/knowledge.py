@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import documents as d
-from ..functions.text import content_fingerprint, doc_title, file_suffix, normalise_document, word_tokens
+from ..functions.text import content_fingerprint, doc_title, file_suffix, normalise_document, strip, word_tokens
 from ..schema import MAX_FILE_BYTES, MAX_SECTIONS, SECTION_TOKENS
 from .scale import widen
 
@@ -148,7 +148,7 @@ def part_numbers(sections: DataFrame) -> DataFrame:
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Non-empty blocks of each document with zero-based positions."""
     blocks = F.filter(
-        F.transform(F.split("content", "\n\n"), lambda b: F.regexp_replace(b, r"(?U)^\s+|\s+\z", "")), lambda b: b != ""
+        F.transform(F.split("content", "\n\n"), lambda b: strip(b)), lambda b: b != ""
     )
     return docs.select("document_id", "tenant_id", "title", F.posexplode(blocks).alias("position", "block"))
 

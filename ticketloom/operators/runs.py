@@ -17,10 +17,10 @@ def numbered_logs(logs: DataFrame) -> DataFrame:
 
     A triage log opens a run, and so does a ticket's first log whatever its step: a ticket that
     does not start with triage counts one more. Run numbers are a running count of triage logs, summed
-    per UTC day before they are numbered inside a day.
+    per hour before they are numbered inside an hour.
     """
     triage = (F.col("agent_name") == "triage").cast("bigint")
-    return running_sum(logs, ["ticket_id"], ["created_at", "log_id"], F.to_date("created_at"), triage, "run_no", head=1 - triage)
+    return running_sum(logs, ["ticket_id"], ["created_at", "log_id"], F.date_trunc("hour", "created_at"), triage, "run_no", head=1 - triage)
 
 
 def agent_runs(logs: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import strip
 from ..schema import CATEGORIES, CHANNELS, TICKET_STATUSES, URGENCIES
 from .scale import left_join_nullable, newest, running_sum
 
 # Accepted address and slug patterns, field lengths of the contact form
-EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 SLUG = r"^[a-z0-9](?:[a-z0-9-]{0,38}[a-z0-9])?$"
 NAME_LENGTH, EMAIL_LENGTH, SUBJECT_LENGTH, MESSAGE_LENGTH = (1, 100), (3, 320), (1, 200), (10, 5000)
 
@@ -79,12 +80,13 @@ def slug_ok(slug: Column) -> Column:
 def contact_intake(requests: DataFrame) -> DataFrame:
     """Cleaned contact-form requests with a verdict: accepted, honeypot, or the field at fault.
 
-    Lengths and the address pattern are checked on what was sent; fields are trimmed afterwards.
+    Lengths and the address pattern are checked on what was sent, so a blank inside or around an
+    address refuses it; the other fields are trimmed afterwards.
     """
     between = lambda c, bounds: F.length(c).between(*bounds)
     verdict = (
         F.when(~between("name", NAME_LENGTH), "name")
-        .when(~(between("email", EMAIL_LENGTH) & F.trim("email").rlike(EMAIL)), "email")
+        .when(~(between("email", EMAIL_LENGTH) & F.col("email").rlike("(?U)" + EMAIL)), "email")
         .when(~between("subject", SUBJECT_LENGTH), "subject")
         .when(~between("message", MESSAGE_LENGTH), "message")
         .when(F.coalesce("website", F.lit("")) != "", "honeypot")
@@ -92,10 +94,10 @@ def contact_intake(requests: DataFrame) -> DataFrame:
     )
     return requests.withColumn("verdict", verdict).withColumns(
         {
-            "name": F.trim("name"),
-            "email": F.lower(F.trim("email")),
-            "subject": F.trim("subject"),
-            "body": F.trim("message"),
+            "name": strip("name"),
+            "email": F.lower(strip("email")),
+            "subject": strip("subject"),
+            "body": strip("message"),
         }
     )
 
@@ -225,13 +227,13 @@ def ticket_detail(tickets: DataFrame, orders: DataFrame, drafts: DataFrame, logs
     """Every ticket with its order, drafts and logs as ordered rows: (ticket, kind, position, ...).
 
     Kept long instead of nested: a ticket with millions of log lines stays spread over tasks.
-    Positions count per ticket in time order, numbered within UTC days first.
+    Positions count per ticket in time order, numbered within hours first.
     """
     order = ticket_order_lookup(tickets, orders).filter("result = 'found'").select(
         "tenant_id", "ticket_id", F.lit("order").alias("kind"), F.lit(1).cast("bigint").alias("position"),
         F.col("order_id").alias("item_id"), F.col("order_status").alias("text"),
     )
-    numbered = lambda df, key: running_sum(df, ["ticket_id"], ["created_at", key], F.to_date("created_at"), name="position")
+    numbered = lambda df, key: running_sum(df, ["ticket_id"], ["created_at", key], F.date_trunc("hour", "created_at"), name="position")
     mine = tickets.select("tenant_id", "ticket_id")
     draft = numbered(drafts.join(mine, ["tenant_id", "ticket_id"], "left_semi"), "draft_id").select(
         "tenant_id", "ticket_id", F.lit("draft").alias("kind"), "position", F.col("draft_id").alias("item_id"),

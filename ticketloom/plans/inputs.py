@@ -169,7 +169,8 @@ SELECT event_id AS attempt_id, CAST(user_id AS VARCHAR(20)) AS visitor, CAST(use
   CAST(ts AS TIMESTAMP) AS ts FROM {events}""",
     "fx_requests": """
 SELECT conv_id * 100 + turn AS request_id, CAST(conv_id % 4 AS INT) AS tenant_id, concat('  Visitor ', CAST(conv_id AS VARCHAR(20)), ' ') AS name,
-  CASE WHEN conv_id % 9 = 4 THEN 'no address' ELSE concat(' User', CAST(conv_id % 50 AS VARCHAR(20)), '@Mail.Example ') END AS email,
+  CASE WHEN conv_id % 9 = 4 THEN 'no address' WHEN conv_id % 9 = 5 THEN ' padded@mail.example'
+       ELSE concat('User', CAST(conv_id % 50 AS VARCHAR(20)), '@Mail.Example') END AS email,
   concat(' About turn ', CAST(turn AS VARCHAR(20)), ' ') AS subject, text AS message,
   CASE WHEN conv_id % 7 = 3 THEN 'http://spam.example' ELSE '' END AS website
 FROM {conversations} WHERE role = 'user'""",

@@ -6,20 +6,13 @@ from ..functions import text as x
 from ..functions.vectors import cosine, l2_normalise, norm
 from ..operators import knowledge as kb, retrieval as rt
 from .registry import query
-from .text import SPACE
-
-_STRIP = f"regexp_replace({{}}, '^{SPACE}+|{SPACE}+$', '', 'g')".replace("{0B}", "{{0B}}").replace("{1C}", "{{1C}}").replace("{1F}", "{{1F}}").replace("{85}", "{{85}}").replace(r"\p{Z}", r"\p{{Z}}")
-
-
-def stripped(sql):
-    return _STRIP.format(sql)
-
+from .text import SPACE, stripped
 
 def words(sql):
     return f"len(list_filter(regexp_split_to_array({sql}, '{SPACE}+'), lambda w: w <> ''))"
 
 
-NORMALISED = stripped(r"regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')".replace("{{3,}}", "{3,}"))
+NORMALISED = stripped(r"regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
 
 
 @query("page_text")

@@ -16,8 +16,7 @@ def stream_view(t, view: str, table: str):
     return t.streaming(view, table, sinks.table_stream(t.spark, t.sf_dir, table))
 
 
-@query("stream_intake", f"""
-WITH {_INTAKE} SELECT DISTINCT tenant_id, email, trim(r.message) AS body FROM intake i JOIN fx_requests r USING (request_id, tenant_id) SEMI JOIN (SELECT request_id FROM intake WHERE verdict = 'accepted') a USING (request_id)""".replace("tenant_id, email, trim", "tenant_id, i.email, trim"))
+@query("stream_intake", f"WITH {_INTAKE} SELECT DISTINCT tenant_id, email, body FROM intake WHERE verdict = 'accepted'")
 def _(t):
     requests = stream_view(t, "fx_requests", "conversations").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("request_id")))
     return sinks.run_to_end(jobs.intake(requests)).select("tenant_id", "email", "body")

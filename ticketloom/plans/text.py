@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, sentiment, text as x
 from ..functions.tone import with_tone
 from ..operators import tickets as k
-from ..operators.scale import newest
+from ..operators.scale import newest, widen
 from ..schema import ORDER_STATUSES
 from .registry import query
 
@@ -17,6 +17,10 @@ def squeezed(sql):
     return f"trim(regexp_replace({sql}, '{SPACE}+', ' ', 'g'))"
 
 
+def stripped(sql):
+    return f"regexp_replace({sql}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 def normalized(sql):
     return rf"regexp_replace(lower({sql}), '\p{{Nd}}+', '0', 'g')"
 
@@ -27,7 +31,7 @@ TEXTS = "texts AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT con
 def texts(t):
     """All document texts and conversation turns."""
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn") + 1000000000).alias("id"), "text")
-    return t.table("documents").select(F.col("doc_id").alias("id"), "text").unionByName(turns)
+    return widen(t.table("documents").select(F.col("doc_id").alias("id"), "text").unionByName(turns))
 
 
 def messages(t):

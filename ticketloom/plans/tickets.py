@@ -8,6 +8,7 @@ from ..functions import text
 from ..operators import runs as r, tickets as k
 from ..operators.scale import newest
 from .registry import query
+from .text import stripped
 
 micros = lambda c, name=None: F.unix_micros(c).alias(name or c)
 ORDER_DAY = date(1998, 6, 1)
@@ -66,15 +67,15 @@ def _(t):
     return k.unfinished_work(t.tickets, _documents(t)).select("kind", "id", "tenant_id", micros("created_at", "created_us"))
 
 
-_INTAKE = r"""intake AS (SELECT request_id, tenant_id, trim(name) AS name, lower(trim(email)) AS email, trim(subject) AS subject,
-  length(trim(message)) AS body_length,
+_INTAKE = f"""intake AS (SELECT request_id, tenant_id, trim(name) AS name, lower(trim(email)) AS email, trim(subject) AS subject,
+  {stripped('message')} AS body,"""+r"""
   CASE WHEN NOT length(name) BETWEEN 1 AND 100 THEN 'name'
-    WHEN NOT (length(email) BETWEEN 3 AND 320 AND regexp_matches(trim(email), '^[^@\s]+@[^@\s]+\.[^@\s]+$')) THEN 'email'
+    WHEN NOT (length(email) BETWEEN 3 AND 320 AND regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')) THEN 'email'
     WHEN NOT length(subject) BETWEEN 1 AND 200 THEN 'subject' WHEN NOT length(message) BETWEEN 10 AND 5000 THEN 'message'
     WHEN website <> '' THEN 'honeypot' ELSE 'accepted' END AS verdict FROM fx_requests)"""
 
 
-@query("contact_intake_clean", f"WITH {_INTAKE} SELECT * FROM intake")
+@query("contact_intake_clean", f"WITH {_INTAKE} SELECT * EXCLUDE (body), length(body) AS body_length FROM intake")
 def _(t):
     out = k.contact_intake(t.requests)
     return out.select("request_id", "tenant_id", "name", "email", "subject", F.length("body").cast("bigint").alias("body_length"), "verdict")
