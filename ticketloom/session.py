@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,13 +21,26 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the results depend on (UTC days) or scale with (AQE)."""
+    """Apply the runtime settings the results depend on (UTC days) or scale with (AQE), and make the
+    package known to the workers."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context, wherever the session was started."""
+    context = spark.sparkContext
+    if getattr(context, "_ticketloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="ticketloom-package-"), "ticketloom")
+    context.addPyFile(shutil.make_archive(target, "zip", root_dir=root, base_dir="ticketloom"))
+    context._ticketloom_shipped = True
+
+
 def build(app: str = "ticketloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
