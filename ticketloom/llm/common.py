@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 4
     """The batches in slices of about `limit` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
         group = np.cumsum(sizes, dtype=np.int64) // limit
         start = 0
         for end in [*(np.flatnonzero(np.diff(group)) + 1), len(sizes)]:

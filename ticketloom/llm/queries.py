@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
-from .common import table
+from . import exact_dedup, language, simhash
+from .common import fold, table
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Fitted on the rows that are not held out."""
+    rows = docs.where(fold("doc_id", 4) != 2).select(F.col("doc_id").alias("id"), "text", "lang")
+    return language.fit(rows)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language_model(docs))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_exact_dedup, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op6_exact_dedup, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
