@@ -2,7 +2,8 @@
 
 Texts are equal when they are identical after all white space (space, U+0009 to U+000D) is deleted. The normalised texts are
 range-partitioned by sampled splitters and sorted inside each partition (Spark's external sort), so equal texts are
-neighbours and a window over neighbours compares them in full.
+neighbours and a window over neighbours compares them in full. The splitters are made of a text's first characters and a hash,
+so that what Spark samples for them stays small however long the texts are, and a beginning that many texts share is divided.
 
 A text that holds more than 1/1000 of all rows would make its partition too large. Such texts (fewer than 1,000 by
 construction) are found first by a count of 64-bit hashes and settled by an aggregation that combines equal texts in the task
@@ -21,6 +22,8 @@ from .common import without_spaces
 HOT_SHARE = 1 / 1000
 #: Groups of up to so many rows never count as hot: a single task takes them easily.
 HOT_LEAST = 20
+#: Characters of a text that take part in the splitters (the comparison always takes whole texts).
+START = 32
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -38,17 +41,16 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         *columns, without_spaces(text).alias("__norm"), F.char_length(text).alias("__length"),
         F.xxhash64(without_spaces(text)).alias("__hash"),
     )
-    counts = base.groupBy("__hash").agg(F.count("*").alias("__n"))
-    total = F.broadcast(base.agg((F.count("*") * HOT_SHARE).alias("__most")))
-    hot = counts.where(F.col("__n") > HOT_LEAST).join(total, F.col("__n") > F.col("__most")).select("__hash")
-    keys = [r[0] for r in hot.collect()]  # fewer than 1/HOT_SHARE numbers
+    most = max(HOT_LEAST, docs.count() * HOT_SHARE)
+    hot = base.groupBy("__hash").count().where(F.col("count") > most)
+    keys = [r[0] for r in hot.select("__hash").collect()]  # fewer than 1/HOT_SHARE numbers
     is_hot = F.col("__hash").isin(keys) if keys else F.lit(False)
     order = [F.col("__length").desc(), F.col(id_column).asc_nulls_last()]
 
-    group = Window.partitionBy("__norm").orderBy(*order)
+    group = Window.partitionBy("__start", "__hash", "__norm").orderBy(*order)
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cold = (
-        base.where(~is_hot).repartitionByRange("__norm")
+        base.where(~is_hot).withColumn("__start", F.substring("__norm", 1, START)).repartitionByRange("__start", "__hash")
         .select(
             *columns, F.first(id_column).over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"),
             (F.row_number().over(group) == 1).alias("kept"), F.sha2(F.col("__norm"), 256).alias("text_sha256"),
