@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, simhash
+from . import bpe, exact_dedup, language, packing, quality, secret_scan, simhash
 from .common import fold, table
 
 
@@ -45,6 +45,42 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(kinds: list[str] | None = None):
+        spans = F.filter("spans", lambda s: s["kind"].isin(kinds)) if kinds else F.col("spans")
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = [r.kind for r in secret_scan.BASE]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    number = [F.size(F.array_remove(kinds, k)) for k in base]
+    number = [(F.size(kinds) - n).cast("long").alias(f"n_{k}") for n, k in zip(number, base)]
+    return found.select(F.col("id").alias("doc_id"), *number, F.sha2(joined(base), 256).alias("base_sha256"), joined().alias("spans"))
+
+
+def _secret_sql() -> str:
+    """Matches and the texts between them give the positions."""
+    quoted = [r.pattern.replace("'", "''") for r in secret_scan.RULES]
+    per_kind = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}') AS found, "
+        f"regexp_extract_all(t, '{p}', {r.group}) AS value, regexp_split_to_array(t, '{p}') AS parts FROM d"
+        for k, (r, p) in enumerate(zip(secret_scan.RULES, quoted))
+    )
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({per_kind}),
+        u AS (SELECT doc_id, k, kind, least, unnest(found) AS found, unnest(value) AS value, unnest(parts[1:len(found)]) AS part, unnest(range(len(found))) AS i FROM m WHERE len(found) > 0),
+        p AS (SELECT *, sum(length(part) + length(found)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM u),
+        s AS (SELECT doc_id, k, kind, (stop - length(found))::BIGINT AS start, kind || ':' || (stop - length(found))::BIGINT || ':' || stop::BIGINT AS span FROM p WHERE length(value) >= least),
+        a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                     string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM s GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (doc_id)
+    """
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -56,10 +92,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op6_exact_dedup, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": _secret_sql(),
     "op6_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
