@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, secret_scan, simhash
+from . import bpe, exact_dedup, language, packing, quality, secret_scan, simhash, toxicity
 from .common import fold, table
 
 
@@ -86,13 +86,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("class"))
+    model = toxicity.fit(docs, labels.where(fold("id", 3) != 1))
+    found = toxicity.toxicity(docs, model, "id")
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score", predicted)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op7_toxicity, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
