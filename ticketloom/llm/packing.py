@@ -11,12 +11,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,10 +27,6 @@ END = 1  # the id after each document
 AXES = 3
 KEY_BITS = 10  # of each axis
 HASHES = 4096
-#: Words whose ids a worker keeps.
-STORED = 300_000
-_RUNS = regex.compile(r" \s")
-_WORDS = regex.compile(r"\s*\S+|\s+")
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------------------
@@ -53,29 +47,16 @@ class Ids:
         ranks = {t: k for t, k in ranks.items() if not (k == special and t.startswith(b"<|"))}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.small = special < 1 << 16  # then two bytes hold an id between the steps
-        self.words: dict[str, bytes] = {}
-        marks = np.random.default_rng(20).normal(size=(HASHES, AXES))  # projection of hashed tokens
-        self.axes = marks[(np.arange(special + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(HASHES)]
-
-    def cut(self, text: str) -> list[str]:
-        """Words that can be encoded apart: a token never reaches over the place where white space begins."""
-        if _RUNS.search(text):
-            return _WORDS.findall(text)
-        head, *rest = text.split(" ")
-        return [*([head] if head else []), *[" " + w for w in rest]]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > STORED:
-            self.words.clear()
-        cut, known = [self.cut(t or "") for t in texts], self.words
-        ordinary = self.encoding.encode_ordinary
-        for word in set(chain.from_iterable(cut)) - known.keys():
-            known[word] = np.array(ordinary(word), "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4") for words in cut]
-
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        return self.axes[ids].mean(axis=0)
+        hashed = (np.arange(special + 1, dtype=np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(HASHES)
+        marks = np.random.default_rng(20).normal(size=(AXES, HASHES)).astype(np.float32)
+        self.axes = [np.ascontiguousarray(row[hashed]) for row in marks]  # projection of hashed tokens
+
+    def encode(self, text: str | None) -> np.ndarray:
+        ids = self.encoding.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=())
+        return np.append(ids, np.uint32(END))
+
+    def vector(self, ids: np.ndarray) -> list[float]:
+        return [float(axis[ids].mean()) for axis in self.axes]
 
 
 @cache
@@ -177,7 +158,7 @@ def pack(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in pieces(batches):
-            ids = own.encode(column(batch, "text"))
+            ids = list(map(own.encode, column(batch, "text")))
             where = np.array([own.vector(x) for x in ids]).reshape(-1, AXES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x.astype("<u2" if own.small else "<u4").tobytes() for x in ids], pa.binary()), *(pa.array(where[:, k]) for k in range(AXES))],
