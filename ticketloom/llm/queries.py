@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, secret_scan, simhash, toxicity
+from . import bpe, exact_dedup, html_text, language, packing, quality, secret_scan, simhash, toxicity
 from .common import fold, table
 
 
@@ -95,13 +95,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score", predicted)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.main_text(pages, html_text.Weights(html_text.count(pages)))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op7_toxicity, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op7_toxicity, op9_html_text, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
