@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, language, packing, quality, secret_scan, simhash, toxicity
+from . import bpe, exact_dedup, gru_lm, html_text, language, packing, quality, secret_scan, simhash, toxicity
 from .common import fold, table
 
 
@@ -95,6 +95,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score", predicted)
 
 
+def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (fold("doc_id", 7) == 2).alias("held"), "text")
+    found = gru_lm.score(docs)
+    return found.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_text.main_text(pages, html_text.Weights(html_text.count(pages)))
@@ -107,7 +113,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op7_toxicity, op9_html_text, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_byte_bpe, op4_hilbert_packing, op5_secret_scan, op6_exact_dedup, op7_toxicity, op8_gru_lm, op9_html_text, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
