@@ -147,3 +147,14 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+
+
+def confident(docs: DataFrame, model: Model, least: float, text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, whose language is known with at least this probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_column):
+            names, score = model.predict(column(batch, text_column))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import column, written
 from .components import components
@@ -221,6 +222,18 @@ def links(marks: DataFrame) -> DataFrame:
     return found.where("key IS NULL").select("a", "b").unionByName(more.select("a", "b"))
 
 
+def groups(marks: DataFrame) -> DataFrame:
+    """(fp, component, lead) of each distinct fingerprint among rows (id, fp): the smallest id that it is linked to over any
+    number of links (null only if all ids are), and the fingerprint of a row with that id."""
+    distinct = marks.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = written(components(links(distinct)), "components")
+    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+    named = joined.select("fp", "root").join(joined.groupBy("root").agg(first), "root")
+    return named.select("fp", F.col("first.least").alias("component"), F.col("first.fp").alias("lead"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp, component): each row's fingerprint as a signed 64-bit number, and the smallest id that it is linked to
     over any number of links, itself included.
@@ -230,10 +243,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     gives an empty result; other columns of `docs` are not read.
     """
     marks = written(fingerprints(docs, id_column, text_column), "fingerprints")
-    distinct = marks.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = written(components(links(distinct)), "components")
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
-    joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    named = joined.select("fp", "root").join(least, "root").select("fp", "component")
-    return marks.join(named, "fp").select("id", "fp", "component")
+    return marks.join(groups(marks).select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Of each group of linked rows one, with all its columns: the one with the smallest id; of repeated rows one.
+
+    A null id comes after all others. Rows meet by id and fingerprint, so a large group of copies is not gathered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprint(t) for t in column(batch, text_column)], np.uint64).view(np.int64)
+            yield batch.append_column("__fp", pa.array(marks))
+
+    rows = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())])), "marked")
+    leads = groups(rows.select(F.col(id_column).alias("id"), F.col("__fp").alias("fp"))).where("fp = lead").select("component", "lead")
+    kept = rows.join(leads, rows[id_column].eqNullSafe(leads["component"]) & (rows["__fp"] == leads["lead"])).select(rows.columns)
+    return kept.dropDuplicates([id_column, "__fp"]).drop("__fp")
