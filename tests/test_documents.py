@@ -3,12 +3,27 @@ from hypothesis import given, settings, strategies as st
 from ticketloom.functions import documents as d
 from ticketloom.operators import knowledge as kb
 from conftest import rows
+from pyspark.sql import functions as F
 
 POLICY = "# Returns\n\nSend it back in 30 days.\n\n## Timing\n\nMoney arrives in 5 days.\n\n### Cards\nSlower by a day.\n\n## Damage\n\nSend a photo."
 
 
-def test_sections_follow_headings():
-    assert [t for t, _ in d.sections("Returns", POLICY, 300)] == ["Returns", "Returns: Timing", "Returns: Timing / Cards", "Returns: Damage"]
+DOCS = "document_id bigint, tenant_id int, title string, content string"
+
+
+def cut(spark, texts, limit, title="T", **more):
+    docs = spark.createDataFrame([(k, 0, title, t) for k, t in enumerate(texts)], DOCS)
+    out = {k: [] for k in range(len(texts))}
+    for r in kb.chunk_sections(docs, limit, **more).orderBy("document_id", "position").collect():
+        assert r["position"] == len(out[r["document_id"]])
+        out[r["document_id"]].append((r["title"], r["content"]))
+    return out
+
+
+def test_sections_follow_headings(spark):
+    found = cut(spark, [POLICY], 300, "Returns")[0]
+    assert [t for t, _ in found] == ["Returns", "Returns: Timing", "Returns: Timing / Cards", "Returns: Damage"]
+    assert found[2][1] == "Slower by a day."
 
 
 def test_page_chrome_is_left_out():
@@ -28,31 +43,61 @@ def test_repeated_titles_are_numbered(spark):
     docs = spark.createDataFrame([(1, 0, "Doc", text)], "document_id bigint, tenant_id int, title string, content string")
     out = kb.part_numbers(kb.chunk_sections(docs, limit=50)).orderBy("position").collect()
     assert len(out) > 3 and out[0]["title"] == "Doc: Policy (part 1)" and out[1]["title"] == "Doc: Policy (part 2)"
-    assert all(d.count_words(r["content"]) <= 50 for r in out)
+    assert all(words(r["content"]) <= 50 for r in out)
 
 
 def prose(alphabet):
     return st.lists(st.lists(st.text(alphabet=alphabet, min_size=1, max_size=6), max_size=40).map(" ".join), max_size=6)
 
 
-@settings(max_examples=100, deadline=None)
-@given(prose("abc.!?"), st.integers(1, 12))
-def test_sections_lose_nothing(paragraphs, limit):
-    text = "\n\n".join(paragraphs)
-    out = list(d.sections("T", text, limit))
-    assert "".join("".join(c.split()) for _, c in out) == "".join(text.split())
+def examples(strategy, n=150):
+    """A fixed batch of generated texts, so that one Spark job tests them all."""
+    found = []
+
+    @settings(max_examples=n, deadline=None, database=None, derandomize=True)
+    @given(strategy)
+    def collect(value):
+        found.append("\n\n".join(value))
+
+    collect()
+    return found
+
 
+def words(text):
+    return len(text.split())
 
-@settings(max_examples=100, deadline=None)
-@given(prose("abc"), st.integers(1, 12))
-def test_sections_keep_the_limit(paragraphs, limit):
-    assert all(d.count_words(c) <= limit for _, c in d.sections("T", "\n\n".join(paragraphs), limit))
 
+def test_sections_lose_nothing_and_keep_the_limit(spark):
+    for limit in (1, 5, 12):
+        texts = examples(prose("abc.!?"))
+        for k, out in cut(spark, texts, limit).items():
+            assert "".join("".join(c.split()) for _, c in out) == "".join(texts[k].split())
+            assert all(0 < words(c) <= limit for _, c in out)
 
-def test_oversized_unit_is_cut_by_characters():
-    count = lambda s: (len(s) + 3) // 4
-    out = list(d.pieces("x" * 50, 3, count))
-    assert "".join(out) == "x" * 50 and all(count(p) <= 3 for p in out)
+
+def test_packing_is_greedy(spark):
+    text = "one two. three four five. six\n\nseven\n\neight nine ten eleven twelve thirteen. fourteen\n\n# H\n\nend"
+    assert cut(spark, [text, "", None], 5) == {
+        0: [("T", "one two. three four five."), ("T", "six\n\nseven"), ("T", "eight nine ten eleven twelve"), ("T", "thirteen. fourteen"), ("T: H", "end")], 1: [], 2: [],
+    }
+
+
+def test_another_measure_cuts_long_words(spark):
+    letters = lambda c: F.ceil(F.length(c) / 4)
+    out = cut(spark, ["x" * 50 + " yy"], 3, count=letters)[0]
+    assert "".join(c for _, c in out).replace(" ", "") == "x" * 50 + "yy" and all(-(-len(c) // 4) <= 3 for _, c in out)
+
+
+def test_malformed_pages_and_files_stop_no_other(spark, tmp_path):
+    bad = "<p>a<![foo[x]]>b</p>"
+    df = spark.createDataFrame([(1, bad), (2, "<p>fine"), (3, None)], "page_id bigint, html string")
+    out = {r["page_id"]: r for r in kb.page_texts(df).collect()}
+    assert out[2]["text"] == "fine" and out[1]["error"] is None and out[3]["error"]
+    for name, data in (("bad.html", bad.encode()), ("ok.md", b"# Good\n\ntext"), ("big.txt", b"x" * (5 * 1024 * 1024 + 1)), ("no.png", b"x"), ("p.pdf", b"%PDF"), ("e.txt", b" \n")):
+        (tmp_path / name).write_bytes(data)
+    files = {r["path"].rsplit("/", 1)[1]: r for r in kb.file_texts(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert len(files) == 6 and files["ok.md"]["title"] == "Good" and files["ok.md"]["error"] is None and files["bad.html"]["text"] == "ab"
+    assert [files[n]["error"] for n in ("big.txt", "no.png", "p.pdf", "e.txt")] == [kb.TOO_LARGE, kb.WRONG_TYPE, kb.PDF_FILE, kb.NO_TEXT]
 
 
 def test_intake_report(spark):

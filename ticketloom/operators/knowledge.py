@@ -10,67 +10,80 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import documents as d
 from ..functions.text import content_fingerprint, doc_title, file_suffix, normalise_document, strip, word_tokens
 from ..schema import MAX_FILE_BYTES, MAX_SECTIONS, SECTION_TOKENS
-from .scale import widen
 
 # Reasons shown for a refused file
 WRONG_TYPE = "Upload Markdown, text, HTML or PDF files."
 TOO_LARGE = "The file is over 5 MB."
 NO_TEXT = "No text found in the file (a scanned PDF needs OCR first)."
 NO_SECTIONS = "No text to index."
+UNREADABLE = "The file isn't readable text (unknown encoding)."
+ALREADY_ADDED = "This document was already added."
+TOO_MANY = ("The document has ", " sections; split it into files of at most ")
+# own wording
+PDF_FILE = "PDF files are not supported here."
 TITLE_LENGTH = 200
 
 
 # --- reading -----------------------------------------------------------------------------
 
 
-def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Title and text of HTML pages; a page that cannot be read carries an error instead."""
+def read_pages(keys: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, title, text, error) of HTML texts; a page that cannot be read carries an error and stops no other."""
 
     def read(batches):
         for batch in batches:
             rows = []
             for page_id, source in zip(batch[key], batch[html]):
                 try:
-                    title, text = d.page_text(source)
-                    rows.append((page_id, title, text, None))
-                except Exception as exc:  # one bad file never stops the rest
+                    rows.append((page_id, *d.page_text(source), None))
+                except Exception as exc:
                     rows.append((page_id, None, None, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=[key, "title", "text", "error"])
 
-    kind = dict(pages.dtypes)[key]
-    raw = widen(pages.select(key, html)).mapInPandas(read, f"{key} {kind}, title string, text string, error string")
-    return raw.withColumn("text", normalise_document("text"))
+    kind = dict(keys.dtypes)[key]
+    return keys.select(key, html).mapInPandas(read, f"{key} {kind}, title string, text string, error string")
+
+
+def page_texts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Title and text of HTML pages; a page that cannot be read carries an error instead."""
+    return read_pages(pages, key, html).withColumn("text", normalise_document("text"))
 
 
 def file_texts(files: DataFrame) -> DataFrame:
     """Text of files read with the binaryFile source (path, length, content).
 
-    Type and size are judged first, so no oversized content reaches Python. PDF parsing needs a
-    library this package does not carry: such files are reported, not guessed at.
+    Type and size are judged in scans of their own: the plain filters on length reach the source, so an oversized file is
+    never loaded, and one unreadable file stops no other. PDF files pass the intake check, but parsing them needs a library
+    that this package does not carry, so they are reported here.
     """
     suffix = file_suffix("path")
-    reason = F.when(~suffix.isin(*d.SUPPORTED_SUFFIXES), WRONG_TYPE).when(F.col("length") > MAX_FILE_BYTES, TOO_LARGE)
-    judged = files.withColumns({"suffix": suffix, "reason": reason})
+    supported = suffix.isin(*d.SUPPORTED_SUFFIXES)
+    refused = files.filter(F.col("length") > MAX_FILE_BYTES).select("path", F.when(supported, TOO_LARGE).otherwise(WRONG_TYPE).alias("error"))
+    small = files.filter(F.col("length") <= MAX_FILE_BYTES)
+    wrong = small.filter(~F.coalesce(supported, F.lit(False))).select("path", F.lit(WRONG_TYPE).alias("error"))
+    kept = small.filter(supported).select("path", suffix.alias("suffix"), "content")
 
     def read(batches):
         for batch in batches:
             rows = []
-            for path, suffix, data, reason in zip(batch["path"], batch["suffix"], batch["content"], batch["reason"]):
-                title = text = None
-                if reason is None and suffix == ".pdf":
-                    reason = "PDF files are not supported here."
-                if reason is None and (text := d.decode(data)) is None:
-                    reason = "The file isn't readable text (unknown encoding)."
-                if reason is None and suffix in (".html", ".htm"):
-                    title, text = d.page_text(text)
+            for path, kind, data in zip(batch["path"], batch["suffix"], batch["content"]):
+                title = text = reason = None
+                try:
+                    if kind == ".pdf":
+                        reason = PDF_FILE
+                    elif (text := d.decode(data)) is None:
+                        reason = UNREADABLE
+                    elif kind in (".html", ".htm"):
+                        title, text = d.page_text(text)
+                except Exception as exc:
+                    title, text, reason = None, None, f"{type(exc).__name__}: {exc}"
                 rows.append((path, title, text, reason))
             yield pd.DataFrame(rows, columns=["path", "title", "text", "error"])
 
-    content = F.when(F.col("reason").isNull(), F.col("content"))
-    raw = judged.select("path", "suffix", content.alias("content"), "reason").mapInPandas(
-        read, "path string, title string, text string, error string"
-    )
-    clean = raw.withColumn("text", normalise_document("text"))
+    read_files = kept.mapInPandas(read, "path string, title string, text string, error string")
+    nothing = F.lit(None).cast("string")
+    rejected = refused.unionByName(wrong).select("path", nothing.alias("title"), nothing.alias("text"), "error")
+    clean = read_files.unionByName(rejected).withColumn("text", normalise_document("text"))
     return clean.select(
         "path",
         doc_title("title", F.coalesce("text", F.lit("")), "path").alias("title"),
@@ -102,7 +115,7 @@ def intake_report(files: DataFrame) -> DataFrame:
     duplicate = F.col("reason").isNull() & F.col("is_first").isNull()
     return (
         judged.join(kept, "document_id", "left")
-        .withColumn("reason", F.when(duplicate, "This document was already added.").otherwise(F.col("reason")))
+        .withColumn("reason", F.when(duplicate, ALREADY_ADDED).otherwise(F.col("reason")))
         .select("document_id", "tenant_id", "filename", F.col("reason").isNull().alias("accepted"), "reason")
     )
 
@@ -115,20 +128,11 @@ def within_limit(entries: DataFrame, text: Column, limit: int, count: Callable[[
 # --- sections ----------------------------------------------------------------------------
 
 
-def chunk_sections(docs: DataFrame, limit: int = SECTION_TOKENS, count: Callable[[str], int] = d.count_words) -> DataFrame:
+def chunk_sections(docs: DataFrame, limit: int = SECTION_TOKENS, count: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """Sections of documents (document_id, tenant_id, title, content) with zero-based positions."""
-
-    def cut(batches):
-        for batch in batches:
-            rows = [
-                (doc, tenant, position, name, body)
-                for doc, tenant, title, text in zip(batch["document_id"], batch["tenant_id"], batch["title"], batch["content"])
-                for position, (name, body) in enumerate(d.sections(title, text or "", limit, count))
-            ]
-            yield pd.DataFrame(rows, columns=["document_id", "tenant_id", "position", "title", "content"])
-
-    source = widen(docs.select("document_id", "tenant_id", "title", "content"))
-    return source.mapInPandas(cut, "document_id bigint, tenant_id int, position int, title string, content string")
+    found = d.sections_of(F.col("title"), F.coalesce("content", F.lit("")), limit, count)
+    rows = docs.select("document_id", "tenant_id", F.posexplode(found).alias("position", "section"))
+    return rows.select("document_id", "tenant_id", "position", F.col("section.title").alias("title"), F.col("section.content").alias("content"))
 
 
 def part_numbers(sections: DataFrame) -> DataFrame:
@@ -147,38 +151,13 @@ def part_numbers(sections: DataFrame) -> DataFrame:
 
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Non-empty blocks of each document with zero-based positions."""
-    blocks = F.filter(
-        F.transform(F.split("content", "\n\n"), lambda b: strip(b)), lambda b: b != ""
-    )
-    return docs.select("document_id", "tenant_id", "title", F.posexplode(blocks).alias("position", "block"))
+    return docs.select("document_id", "tenant_id", "title", F.posexplode(d.blocks_of(F.col("content"))).alias("position", "block"))
 
 
 def heading_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks with the path of headings above them, the document's own title left out.
-
-    A heading of some depth stays in force until one of the same or a smaller depth follows.
-    """
-    line = F.regexp_extract("block", r"(?dU)^([^\n]*)", 1)
-    pattern = r"(?dU)^(#{1,6})\s+(.+?)\s*#*\s*$"
-    marks = F.regexp_extract(line, pattern, 1)
-    blocks = text_blocks(docs).withColumns(
-        {"depth": F.nullif(F.length(marks), F.lit(0)), "heading": F.regexp_extract(line, pattern, 2)}
-    )
-    so_far = W.partitionBy("document_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    last = lambda depth, value: F.last(F.when(F.col("depth") == depth, F.col(value)), True).over(so_far)
-    levels = range(1, 7)
-    tracked = blocks.withColumns(
-        {f"h{n}": last(n, "heading") for n in levels} | {f"p{n}": last(n, "position") for n in levels}
-    )
-    parts = []
-    for n in levels:
-        above = [F.coalesce(F.col(f"p{m}"), F.lit(-1)) for m in range(1, n)]
-        in_force = F.col(f"p{n}").isNotNull()
-        for p in above:
-            in_force = in_force & (F.col(f"p{n}") > p)
-        parts.append(F.when(in_force & (F.col(f"h{n}") != F.col("title")), F.col(f"h{n}")))
-    path = F.array_join(F.array_compact(F.array(*parts)), " / ")
-    return tracked.select("document_id", "position", F.col("depth").isNotNull().alias("is_heading"), path.alias("path"), "block")
+    """Blocks with the path of headings above them, the document's own title left out."""
+    rows = d.with_headings(d.blocks_of(F.col("content")), F.col("title"))
+    return docs.select("document_id", F.posexplode(rows).alias("position", "row")).select("document_id", "position", "row.is_heading", "row.path", "row.block")
 
 
 def document_status(docs: DataFrame, sections: DataFrame, most: int = MAX_SECTIONS) -> DataFrame:
@@ -186,7 +165,7 @@ def document_status(docs: DataFrame, sections: DataFrame, most: int = MAX_SECTIO
     counts = sections.groupBy("document_id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     error = F.when(n == 0, NO_SECTIONS).when(
-        n > most, F.concat(F.lit("The document has "), n.cast("string"), F.lit(f" sections; split it into files of at most {most}."))
+        n > most, F.concat(F.lit(TOO_MANY[0]), n.cast("string"), F.lit(f"{TOO_MANY[1]}{most}."))
     )
     return (
         docs.select("document_id", "tenant_id")
