@@ -129,5 +129,5 @@ def test_training_and_batch_predictions(spark, tmp_path):
     tr.save_model(model, path)
     with pytest.raises(Exception, match="already exists"):
         tr.save_model(model, path)
-    names = [r[2] for r in tr.top_coefficients(model, classes, 5) if r[0] == "high"]
+    names = [r[2] for r in tr.top_coefficients(model, df, classes, 60) if r[0] == "high"]
     assert any("urgent" in n or "refund" in n for n in names)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.scale import widen
 from ..schema import MIN_CONFIDENCE, REFUND_THRESHOLD
 from .patterns import searchable
 from .sentiment import compound
@@ -209,7 +208,7 @@ def with_rules(df: DataFrame, text: str = "text") -> DataFrame:
     are evaluated once per row.
     """
     return (
-        widen(df)
+        df
         .withColumn("__compound", compound(F.col(text)))
         .withColumn("fired", fired(F.col(text), F.col("__compound")))
         .drop("__compound")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import dedupe_key
-from .scale import hash_bucket, hash_order, oldest, running_sum, salted_join
+from .scale import hash_bucket, hash_order, join_same, running_sum, salted_join
 
 
 def dedupe_groups(rows: DataFrame, group: Column, order: str = "row_id") -> DataFrame:
@@ -35,7 +35,7 @@ def balanced_weights(rows: DataFrame, label: str = "category") -> DataFrame:
     factors = counts.select(label, (average / F.col("__n")).alias("__factor"))
     base = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
     # one row per class; Spark broadcasts it by its measured size
-    return rows.join(factors, label).withColumn("weight", base * F.col("__factor")).drop("__factor")
+    return join_same(rows, factors, [label]).withColumn("weight", base * F.col("__factor")).drop("__factor")
 
 
 def ranked(rows: DataFrame, group: Sequence[str], key: Column | str, seed: str, name: str = "rank") -> DataFrame:
@@ -58,9 +58,9 @@ def mix_sources(first: DataFrame, second: DataFrame, per_class: int, share: floa
     have = ordered.groupBy("category").agg(F.count("*").alias("have"))
     keyed = second.select("row_id", "category", F.sha2(dedupe_key("text").cast("binary"), 256).alias("key"))
     seen = taken.select("category", F.sha2(dedupe_key("text").cast("binary"), 256).alias("key")).distinct()
-    unique = keyed.groupBy("category", "key").agg(F.min("row_id").alias("row_id")).join(seen, ["category", "key"], "left_anti")
+    unique = join_same(keyed.groupBy("category", "key").agg(F.min("row_id").alias("row_id")), seen, ["category", "key"], "left_anti")
     order = ranked(unique.select("row_id", "category"), ["category"], "row_id", seed)
-    room = order.join(have, "category", "left").filter(F.col("rank") <= per_class - F.coalesce("have", F.lit(0)))
+    room = join_same(order, have, ["category"], "left").filter(F.col("rank") <= per_class - F.coalesce("have", F.lit(0)))
     filled = second.join(room.select("row_id"), "row_id", "left_semi").select(*columns)
     return taken.unionByName(filled)
 
@@ -78,7 +78,7 @@ def grouped_split(rows: DataFrame, seed: str = "42", test: float = 0.15, val: fl
     )
     share = F.col("__end") / F.col("__total")
     split = F.when(share <= test, "test").when(share <= test + val, "val").otherwise("train")
-    assigned = ordered.join(totals, "category").select("category", "grp", split.alias("split"))
+    assigned = join_same(ordered, totals, ["category"]).select("category", "grp", split.alias("split"))
     floor = sizes.agg((F.sum("__size") * F.lit(0.01)).alias("floor")).scalar()
     hot = sizes.filter(F.col("__size") >= floor).select("category", "grp")  # at most 100 groups
     return salted_join(rows, assigned, ["category", "grp"], by="row_id", hot=hot)

@@ -98,7 +98,7 @@ def log_fields(logs: DataFrame) -> DataFrame:
 def spoken(name: Column) -> Column:
     """An enum value as words with a capital: refund_request -> Refund request."""
     words = F.translate(name, "_", " ")
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
 
 
 def trace_headline(fields: DataFrame) -> DataFrame:

@@ -31,6 +31,17 @@ def _pick(agg, df, keys, order, keep):
     )
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null equals a null, so that no row with a null key is lost; keys appear once."""
+    other = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    condition = None
+    for k in keys:
+        same = left[k].eqNullSafe(other[f"__same_{k}"])
+        condition = same if condition is None else condition & same
+    joined = left.join(other, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__same_{k}" for k in keys])
+
+
 def running_sum(
     df: DataFrame,
     group: Sequence[str],
@@ -44,7 +55,7 @@ def running_sum(
 
     `bucket` must not decrease along `order`; it cuts a hot group into pieces that are summed and
     numbered in parallel. `head`, read from the first row of a group, is added to the whole group.
-    Group columns must not be null.
+    A null in a group column is a value like any other.
     """
     value = F.lit(1).cast("bigint") if value is None else value
     keyed = df.withColumn("__bucket", bucket).withColumn("__value", value)
@@ -59,7 +70,7 @@ def running_sum(
     offsets = totals.select(*group, "__bucket", offset.alias("__offset"))
     inside = W.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        keyed.join(offsets, [*group, "__bucket"])
+        join_same(keyed, offsets, [*group, "__bucket"])
         .withColumn(name, F.col("__offset") + F.sum("__value").over(inside))
         .drop("__bucket", "__value", "__offset")
     )
@@ -96,18 +107,18 @@ def salted_join(
 
     Hot keys (at most 1/share, so that broadcast is bounded) are spread over `pieces` salts on the
     fact side and repeated that often on the other. All other keys join as usual. A caller that
-    already has key counts passes the hot keys itself, with the same bound.
+    already has key counts passes the hot keys itself, with the same bound. Null keys match each other.
     """
     hot = hot_keys(many, keys, share) if hot is None else hot
     hot = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
-    left = many.join(hot, list(keys), "left").withColumn(
+    left = join_same(many, hot, keys, "left").withColumn(
         "__salt", F.when(F.col("__hot"), spread(many, keys, F.col(by), pieces)).otherwise(0)
     )
-    right = one.join(hot, list(keys), "left").withColumn(
+    right = join_same(one, hot, keys, "left").withColumn(
         "__salt",
         F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))),
     )
-    return left.drop("__hot").join(right.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
+    return join_same(left.drop("__hot"), right.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: str, by: str, pieces: int = 64) -> DataFrame:
@@ -119,26 +130,3 @@ def left_join_nullable(left: DataFrame, right: DataFrame, keys: Sequence[str], n
     dealt = left.withColumn("__deal", F.when(F.col(nullable).isNull(), F.pmod(F.xxhash64(by), F.lit(pieces))).otherwise(F.lit(0).cast("bigint")))
     matched = right.withColumn("__deal", F.pmod(F.xxhash64(nullable), F.lit(1)))  # 0, but not a constant to fold away
     return dealt.join(matched, [*keys, "__deal"], "left").drop("__deal")
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for a frame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small_side(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Mark a side for broadcast only when its estimated size stays under the limit."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
-
-
-def widen(df: DataFrame, limit_bytes: int = 256 << 20) -> DataFrame:
-    """Deal a small input over all cores before an expensive per-row step.
-
-    A small file is one split, so one core would do all the work. Only inputs whose files are
-    estimated under the limit are moved; a large scan already has its own splits and keeps them.
-    """
-    if df.isStreaming:
-        return df
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit_bytes else df

@@ -81,10 +81,10 @@ def _(t):
 
 @query("document_status", """
 WITH n AS (SELECT d.document_id, d.tenant_id, count(s.position) AS n FROM fx_documents d LEFT JOIN fx_sections s ON s.document_id = d.document_id GROUP BY ALL)
-SELECT document_id, tenant_id, CASE WHEN n = 0 OR n > 20 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN n = 0 OR n > 20 THEN 0 ELSE n END AS section_count,
-  CASE WHEN n = 0 THEN 'No text to index.' WHEN n > 20 THEN 'The document has ' || n || ' sections; split it into files of at most 20.' END AS error FROM n""")
+SELECT document_id, tenant_id, CASE WHEN n = 0 OR n > 400 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN n = 0 OR n > 400 THEN 0 ELSE n END AS section_count,
+  CASE WHEN n = 0 THEN 'No text to index.' WHEN n > 400 THEN 'The document has ' || n || ' sections; split it into files of at most 400.' END AS error FROM n""")
 def _(t):
-    return kb.document_status(t.documents, t.sections, most=20)
+    return kb.document_status(t.documents, t.sections)
 
 
 @query("section_counts", "SELECT d.document_id, d.tenant_id, count(s.position) AS sections FROM fx_documents d LEFT JOIN fx_sections s ON s.document_id = d.document_id GROUP BY ALL")

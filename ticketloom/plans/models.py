@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.rules import with_rules
 from ..operators import features as ft, limits, retrieval as rt, training as tr, triage as tg
 from ..operators.corpus import grouped_split
-from ..schema import URGENCIES
+from ..schema import TOP_K, URGENCIES
 from .registry import query
-from .text import MESSAGES, SPACE, _CONF, _FIRED, _REASONS, escalation_inputs, messages, normalized
+from .text import MESSAGES, SPACE, _CONF, _FIRED, _REASONS, messages, newest_confidences, normalized
 
 CLASSES = list(URGENCIES)
 _TOKENS = r"regexp_extract_all(" + normalized("text") + r", '[\p{L}\p{N}_]{2,}')"
@@ -21,7 +21,6 @@ _CHAR = f"""words AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, un
 grams AS (SELECT doc_id, n, unnest(flatten(list_transform([3, 4, 5], lambda k: list_transform(generate_series(1, length(word) + 2 - k + 1), lambda i: substr(' ' || word || ' ', i, k))))) AS term FROM words),
 counts AS (SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS tf FROM grams GROUP BY ALL),
 {_TFIDF.format(min_df=3, top='ORDER BY total DESC, term LIMIT 40000')}"""
-_SUMMARY = "SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS top_weight FROM tfidf GROUP BY doc_id"
 
 
 def docs(t):
@@ -33,11 +32,9 @@ def _(t):
     return ft.tfidf_word(docs(t), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-@query("tfidf_char", f"WITH {_CHAR} {_SUMMARY}")
+@query("tfidf_char", f"WITH {_CHAR} SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
 def _(t):
-    return ft.tfidf_char(docs(t), "doc_id").groupBy("doc_id").agg(
-        F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight_sum"), F.round(F.max("weight"), 6).alias("top_weight")
-    )
+    return ft.tfidf_char(docs(t), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 def training_sets(t):
@@ -51,44 +48,51 @@ def training_sets(t):
 def _(t):
     rows = ft.with_terms(messages(t).select("ticket_id", "text"))
     model = ft.feature_pipeline().fit(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(rows).select("ticket_id", F.size(vector_to_array("features")).alias("dimensions"))
+    filled = F.udf(lambda v: (int(v.size), int(v.numNonzeros())), "dimensions int, filled int")
+    return model.transform(rows).select("ticket_id", filled("features").alias("f")).select("ticket_id", "f.dimensions", "f.filled")
 
 
 @query("train_logreg")
 def _(t):
     sets = training_sets(t)
-    return tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(0.5, 8.0), max_iter=20)[1]
+    return tr.train_logreg(sets["train"], sets["val"], CLASSES)[1]
 
 
 @query("train_trees")
 def _(t):
     sets = training_sets(t)
-    return tr.train_trees(sets["train"], sets["val"], CLASSES, depths=(3,), rounds=3, vocabulary=200)[1]
+    return tr.train_trees(sets["train"], sets["val"], CLASSES)[1]
 
 
 @query("top_coefficients")
 def _(t):
     sets = training_sets(t)
-    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(2.0,), max_iter=20)
-    return t.spark.createDataFrame(tr.top_coefficients(model, CLASSES), "class string, rank int, feature string, coefficient double")
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES)
+    return t.spark.createDataFrame(tr.top_coefficients(model, sets["train"], CLASSES), "class string, rank int, feature string, coefficient double")
 
 
-@query("cv_human_weight")
-def _(t):
+def human_folds(t):
     sets = training_sets(t)
     human = messages(t).filter("corrected_urgency IS NOT NULL OR urgency IS NOT NULL").select(
         F.col("ticket_id").alias("row_id"), "text", F.coalesce("corrected_urgency", "urgency").alias("label")
     )
-    oof = tr.cv_human_weight(sets["train"], human, CLASSES, weights=(0, 10), folds=2, max_iter=10)
-    return oof.drop("proba")
+    return tr.cv_human_weight(sets["train"], human, CLASSES)
+
+
+@query("cv_human_weight")
+def _(t):
+    return human_folds(t)
+
+
+@query("human_weight_choice")
+def _(t):
+    return tr.choose_human_weight(human_folds(t), CLASSES)
 
 
 @query("batch_triage")
 def _(t):
     sets = training_sets(t)
-    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, cs=(2.0,), max_iter=20)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES)
     return tr.batch_predictions(model, messages(t), CLASSES, "urgency_classifier", "v5", (1.0, 1.25, 2.0))
 
 
@@ -97,25 +101,37 @@ def _(t):
 
 def given_labels(t):
     """Stored labels with the newest confidences, as the classifiers' output."""
-    return escalation_inputs(t).select("ticket_id", "category", "category_confidence", "urgency", "urgency_confidence")
+    return t.tickets.select("ticket_id", "category", "urgency").join(newest_confidences(t), "ticket_id", "left")
 
 
 def ticket_hits(t):
-    dim = 64
-    queries = rt.embed_texts(messages(t).select(F.col("ticket_id").alias("query_id"), "tenant_id", "text"), dim=dim)
-    return rt.search_topk(queries, t.kb)
+    """A ticket's query vector is the stored embedding that its key names, so queries and entries share one space; each
+    distinct (tenant, vector) is searched once and joined back to its tickets."""
+    size = t.embeddings.agg(F.count("*")).scalar()
+    keyed = t.tickets.select("tenant_id", "ticket_id", (F.col("ticket_id") % size).alias("vec_id")).withColumn("query_id", F.col("vec_id") * 16 + F.col("tenant_id"))
+    asked = keyed.select("query_id", "tenant_id", "vec_id").distinct().join(t.embeddings.select("vec_id", "embedding"), "vec_id")
+    return keyed.select("ticket_id", "query_id").join(rt.search_topk(asked, t.kb), "query_id").drop("query_id").withColumnRenamed("ticket_id", "query_id")
+
+
+_LENGTH = "sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v)))"
+_HITS = f"""keyed AS (SELECT tenant_id, ticket_id, ticket_id % (SELECT count(*) FROM embeddings) AS vec_id FROM fx_tickets),
+asked AS (SELECT tenant_id, vec_id, embedding, {_LENGTH} AS len FROM (SELECT DISTINCT tenant_id, vec_id FROM keyed) JOIN embeddings USING (vec_id)),
+hit_sims AS (SELECT a.tenant_id, a.vec_id, e.entry_id, e.title, e.tag,
+  round(list_sum(list_transform(list_zip(a.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.len * e.len), 9) AS sim
+  FROM asked a JOIN (SELECT *, {_LENGTH} AS len FROM fx_kb) e ON e.tenant_id = a.tenant_id),
+hit_top AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, vec_id ORDER BY sim DESC, entry_id) AS rank FROM hit_sims QUALIFY rank <= {TOP_K}),
+found AS (SELECT k.ticket_id, string_agg(CAST(h.entry_id AS VARCHAR), ',' ORDER BY h.rank) AS entries FROM keyed k JOIN hit_top h ON h.tenant_id = k.tenant_id AND h.vec_id = k.vec_id GROUP BY k.ticket_id)"""
+_TRIAGE = """r.tenant_id, r.ticket_id, r.category, r.urgency, l.weak_label, CASE WHEN l.order_id IS NOT NULL THEN CASE WHEN r.amount IS NULL THEN 'no order found' ELSE 'found' END END AS order_result,
+  'awaiting_review' AS status, CASE WHEN r.category IS NULL THEN true ELSE len(reasons) > 0 END AS needs_escalation,
+  CASE WHEN r.category IS NULL THEN 'Agent pipeline failed (no label); review manually or rerun' ELSE nullif(array_to_string(reasons, '; '), '') END AS escalation_reason"""
 
 
-@query("ticket_triage_rules", f"""
-WITH {_REASONS} SELECT r.tenant_id, r.ticket_id, r.category, r.urgency, l.weak_label, CASE WHEN l.order_id IS NOT NULL THEN CASE WHEN r.amount IS NULL THEN 'no order found' ELSE 'found' END END AS order_result,
-  'awaiting_review' AS status, CASE WHEN r.category IS NULL THEN true ELSE len(reasons) > 0 END AS needs_escalation,
-  CASE WHEN r.category IS NULL THEN 'Agent pipeline failed (no label); review manually or rerun' ELSE nullif(array_to_string(reasons, '; '), '') END AS escalation_reason
-FROM r JOIN labelled l USING (ticket_id)""")
+@query("ticket_triage_rules", f"WITH {_REASONS} SELECT {_TRIAGE} FROM r JOIN labelled l USING (ticket_id)")
 def _(t):
     return tg.triage(t.tickets, given_labels(t), t.orders).drop("entries")
 
 
-@query("ticket_triage")
+@query("ticket_triage", f"WITH {_REASONS}, {_HITS} SELECT {_TRIAGE}, f.entries FROM r JOIN labelled l USING (ticket_id) LEFT JOIN found f USING (ticket_id)")
 def _(t):
     return tg.triage(t.tickets, given_labels(t), t.orders, ticket_hits(t)).withColumn("entries", F.array_join(F.col("entries").cast("array<string>"), ","))
 

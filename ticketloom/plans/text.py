@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, sentiment, text as x
 from ..functions.tone import with_tone
 from ..operators import tickets as k
-from ..operators.scale import newest, widen
+from ..operators.scale import newest
 from ..schema import ORDER_STATUSES
 from .registry import query
 
@@ -31,7 +31,7 @@ TEXTS = "texts AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT con
 def texts(t):
     """All document texts and conversation turns."""
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn") + 1000000000).alias("id"), "text")
-    return widen(t.table("documents").select(F.col("doc_id").alias("id"), "text").unionByName(turns))
+    return t.table("documents").select(F.col("doc_id").alias("id"), "text").unionByName(turns)
 
 
 def messages(t):
@@ -241,14 +241,18 @@ r AS (SELECT *, list_filter([
   CASE WHEN urgency IS DISTINCT FROM 'high' AND len(signals) > 0 THEN 'Strong urgency signal in the text: ' || array_to_string(signals, ', ') END], lambda q: q IS NOT NULL) AS reasons FROM e)"""
 
 
-def escalation_inputs(t):
-    """Tickets with rules, the newest confidences and the amount of the linked order."""
+def newest_confidences(t):
+    """The newest confidence of each classifier per ticket."""
     latest = newest(t.predictions, ["ticket_id", "model_name"], ["created_at", "model_version"], ["confidence"])
-    conf = latest.groupBy("ticket_id").agg(
+    return latest.groupBy("ticket_id").agg(
         F.max(F.when(F.col("model_name") == "category_classifier", F.col("confidence"))).alias("category_confidence"),
         F.max(F.when(F.col("model_name") == "urgency_classifier", F.col("confidence"))).alias("urgency_confidence"),
     )
-    return k.with_order(labelled(t), t.orders).withColumn("order_amount", F.col("amount").cast("double")).join(conf, "ticket_id", "left")
+
+
+def escalation_inputs(t):
+    """Tickets with rules, the newest confidences and the amount of the linked order."""
+    return k.with_order(labelled(t), t.orders).withColumn("order_amount", F.col("amount").cast("double")).join(newest_confidences(t), "ticket_id", "left")
 
 
 @query("escalation_reasons", f"WITH {_REASONS} SELECT ticket_id, CAST(i AS BIGINT) AS position, reasons[i] AS reason FROM r, unnest(generate_series(1, len(reasons))) AS u(i)")
