@@ -121,7 +121,7 @@ def test_training_and_batch_predictions(spark, tmp_path):
     data = [(i, f"{texts[k]} number {i}", k) for i, k in enumerate(list(texts) * 20)]
     df = spark.createDataFrame(data, "ticket_id bigint, text string, label string")
     classes = ["low", "medium", "high"]
-    model, picked = tr.train_logreg(df, df, classes, cs=(2.0,), max_iter=15)
+    model, picked = tr.train_logreg(df, df, classes, cs=(2.0,), max_iter=15, places=1 << 12)
     assert picked.first()["val_macro_f1"] == 1.0
     out = {r["ticket_id"]: r for r in tr.batch_predictions(model, df, classes, "urgency_classifier", "v1").collect()}
     assert all(out[i]["prediction"] == k and out[i]["confidence"] > 0.4 for i, _, k in data)

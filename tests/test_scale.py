@@ -77,3 +77,19 @@ def test_rate_limit_equals_the_sequential_limiter(spark, seed):
     got = {r["attempt_id"]: r["allowed"] for r in limits.decisions(df, "key_name", 3, 10).collect()}
     expected = brute_limit(attempts, 3, 10)
     assert got == expected and not all(expected.values())
+
+
+def test_null_keys_are_kept(spark):
+    from ticketloom.operators import corpus
+
+    data = [(1, "a", "g"), (2, None, "g"), (3, None, None), (4, "a", None), (5, None, None)]
+    df = spark.createDataFrame(data, "row_id bigint, category string, grp string").withColumn("label", F.col("category"))
+    numbered = scale.running_sum(df, ["category"], ["row_id"], F.floor(F.col("row_id") / 2))
+    assert rows(numbered, "row_id", "running") == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]
+    assert corpus.stratified_folds(df, "label", 2).count() == 5
+    split = corpus.grouped_split(df).collect()
+    assert len(split) == 5 and all(r["split"] for r in split)
+    weights = rows(corpus.balanced_weights(df, "category"), "row_id", "weight")
+    assert [w for _, w in weights] == [5 / 4, 5 / 6, 5 / 6, 5 / 4, 5 / 6]
+    ranked = corpus.ranked(df, ["category", "grp"], "row_id", "s")
+    assert ranked.count() == 5

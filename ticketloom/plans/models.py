@@ -10,6 +10,8 @@ from .registry import query
 from .text import MESSAGES, SPACE, _CONF, _FIRED, _REASONS, messages, newest_confidences, normalized
 
 CLASSES = list(URGENCIES)
+#: The weakly labelled sentences have some hundreds of distinct terms, so fewer places hold them without crowding.
+PLACES = 1 << 12
 _TOKENS = r"regexp_extract_all(" + normalized("text") + r", '[\p{L}\p{N}_]{2,}')"
 _TFIDF = """df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term HAVING count(*) >= {min_df} {top}),
 w AS (SELECT c.doc_id, c.term, (1 + ln(c.tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + d.df)) + 1) AS w FROM counts c JOIN df d USING (term)),
@@ -55,7 +57,7 @@ def _(t):
 @query("train_logreg")
 def _(t):
     sets = training_sets(t)
-    return tr.train_logreg(sets["train"], sets["val"], CLASSES)[1]
+    return tr.train_logreg(sets["train"], sets["val"], CLASSES, places=PLACES)[1]
 
 
 @query("train_trees")
@@ -67,7 +69,7 @@ def _(t):
 @query("top_coefficients")
 def _(t):
     sets = training_sets(t)
-    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, places=PLACES)
     return t.spark.createDataFrame(tr.top_coefficients(model, sets["train"], CLASSES), "class string, rank int, feature string, coefficient double")
 
 
@@ -76,23 +78,23 @@ def human_folds(t):
     human = messages(t).filter("corrected_urgency IS NOT NULL OR urgency IS NOT NULL").select(
         F.col("ticket_id").alias("row_id"), "text", F.coalesce("corrected_urgency", "urgency").alias("label")
     )
-    return tr.cv_human_weight(sets["train"], human, CLASSES)
+    return tr.cv_human_weight(sets["train"], human, CLASSES, places=PLACES)
 
 
 @query("cv_human_weight")
 def _(t):
-    return human_folds(t)
-
-
-@query("human_weight_choice")
-def _(t):
-    return tr.choose_human_weight(human_folds(t), CLASSES)
+    """Predictions out of fold for every weight; the chosen weight is marked and comes with its tuned class weights."""
+    folded = human_folds(t)
+    choice = tr.choose_human_weight(folded, CLASSES).first()  # one row
+    chosen = F.col("human_weight") == choice["human_weight"]
+    tuned = F.when(chosen, F.array(*map(F.lit, choice["weights"])))
+    return folded.select("*", chosen.alias("chosen"), tuned.alias("class_weights"))
 
 
 @query("batch_triage")
 def _(t):
     sets = training_sets(t)
-    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, places=PLACES)
     return tr.batch_predictions(model, messages(t), CLASSES, "urgency_classifier", "v5", (1.0, 1.25, 2.0))
 
 
