@@ -78,7 +78,7 @@ def human_folds(t):
     human = messages(t).filter("corrected_urgency IS NOT NULL OR urgency IS NOT NULL").select(
         F.col("ticket_id").alias("row_id"), "text", F.coalesce("corrected_urgency", "urgency").alias("label")
     )
-    return tr.cv_human_weight(sets["train"], human, CLASSES, places=PLACES)
+    return tr.cv_human_weight(sets["train"], human, CLASSES, max_iter=25, places=PLACES)
 
 
 @query("cv_human_weight")
