@@ -44,11 +44,6 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
-def share_kept(key: Column, share: float) -> Column:
-    """True for about `share` of the keys, chosen by a hash: the same rows in every run and task."""
-    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 30)) < int(share * (1 << 30))
-
-
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
