@@ -83,3 +83,9 @@ def test_weights_and_query_over_rows(spark):
         else:
             assert r.text == ""
     assert h.main_text(pages.limit(0), h.Weights(h.count(pages.limit(0)))).count() == 0
+
+
+def test_story_in_divs_beside_a_teaser_article():
+    story = "".join(f"<p>{'story words ' * 20}part {k}.</p>" for k in range(4))
+    got = h.extract(page(f'<div><h1>A title</h1>{story}</div><article class="card"><p>Read this next.</p></article>'), weights())
+    assert got.startswith("A title\nstory words") and all(f"part {k}." in got for k in range(4))

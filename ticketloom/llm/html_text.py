@@ -2,7 +2,8 @@
 
 A page is read as a line of words and tags. Each kind of word and tag has a weight, and a linear scan finds the contiguous
 stretch with the largest sum, which is the content region. The weights are log-odds of lying inside the article, counted over
-all labelled pages: those whose markup names one stretch as the article. Boxes that are never article text (menus, footers,
+all labelled pages: those whose markup names one stretch as the article. They score every page; a token inside an article or
+main element gets one more weight, the log-odds of the labelled pages' tokens. Boxes that are never article text (menus, footers,
 forms, adverts, notices, reader comments, scripts and so on, by tag, role or class) count as one token and are left out.
 """
 
@@ -50,7 +51,7 @@ _PARTS = re.compile(r"[^a-z]+")
 #: Limits and first guesses of the weights; counts move them.
 WORD, LINK, TAG, BOX = "word", "link", "tag:", "box"
 GUESS = {WORD: 0.5, LINK: -0.5, BOX: -2.0}
-GUESS_TAG, GUESS_BLOCK_TEXT = -1.0, 0.0
+GUESS_TAG, GUESS_BLOCK_TEXT, GUESS_INSIDE = -1.0, 0.0, 1.0
 _TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
 LEAST, MOST, PRIOR = -4.0, 1.0, 50.0
 
@@ -177,9 +178,10 @@ class Weights:
             odds = math.log((a + 1) / total[True]) - math.log((b + 1) / total[False])
             trust = (a + b) / (a + b + PRIOR)
             self.of[kind] = min(max(trust * odds + (1 - trust) * self.guess(kind), LEAST), MOST)
-        # where the page names its article, the place itself is the label; elsewhere a word speaks for content
-        self.of[WORD] = max(self.of.get(WORD, GUESS[WORD]), 0.1)
-        self.of |= {"word@in": MOST, "link@in": MOST, "word@out": LEAST, "link@out": LEAST}
+        a, b = total[True], total[False]
+        trust = (a + b) / (a + b + PRIOR)
+        self.inside = min(max(trust * math.log(a / b) + (1 - trust) * GUESS_INSIDE, 0.0), MOST)
+        self.of[WORD] = max(self.of.get(WORD, GUESS[WORD]), 0.1)  # a word speaks for content
 
     @staticmethod
     def guess(kind: str) -> float:
@@ -204,17 +206,10 @@ def region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: Weights) -> str:
     """The page's main text: its blocks joined by line ends; empty if there is none."""
     line = tokens(page or "")
-    named = any(inside for _, _, inside in line)
     scores = []
     for kind, text, inside in line:
-        if kind in (WORD, LINK):
-            scores.append(weights(kind + ("@in" if inside else "@out") if named else kind) * len(text.split()))
-        elif kind == TAG:
-            scores.append(0.0)
-        elif named:
-            scores.append(0.0 if inside else GUESS_TAG)
-        else:
-            scores.append(weights(kind))
+        n = 0 if kind == TAG else len(text.split()) if kind in (WORD, LINK) else 1
+        scores.append(n * (weights(kind) + (weights.inside if inside else 0.0)))
     start, end = region(scores)
 
     def breaks(kind: str) -> bool:
