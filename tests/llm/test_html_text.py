@@ -89,3 +89,20 @@ def test_story_in_divs_beside_a_teaser_article():
     story = "".join(f"<p>{'story words ' * 20}part {k}.</p>" for k in range(4))
     got = h.extract(page(f'<div><h1>A title</h1>{story}</div><article class="card"><p>Read this next.</p></article>'), weights())
     assert got.startswith("A title\nstory words") and all(f"part {k}." in got for k in range(4))
+
+
+def test_wrappers_around_the_page_keep_its_text():
+    w = weights()
+    body = f"<h1>A title</h1><p>{TEXT}</p><p>{'many words ' * 30}</p>"
+    expected = "A title\nOne & two words here.\nBoldly said again.\n" + ("many words " * 30).strip()
+    for start, end in (
+        ('<div class="page has-sidebar">', "</div>"), ('<div id="no-sidebar">', "</div>"), ('<div class="elementor-widget">', "</div>"), ("<form method=post id=aspnetForm>", "</form>"),
+        ('<div class="sidebar-left">', "</div>"), ('<form><div class="widget">', "</div></form>"), ('<div role="form">', "</div>"),
+    ):
+        assert h.extract(page(start + body + end), w) == expected, start
+        assert h.extract(page(f"{start}<article>{body}</article>{end}"), w) == expected, start
+        assert h.extract(page(f"{start}{body}<form>Mail <input></form><div class='ads'>Buy now</div>{end}"), w) == expected, start
+    parts = "".join(f'<div class="elementor-widget"><p>{"many words " * 10}{k}</p></div>' for k in range(4))
+    assert h.extract(page(f"<div>{parts}</div>"), w).count("\n") == 3
+    long = '<section id="comments"><article class="comment"><h1>Re</h1><p>' + "great read " * 400 + "</p></article></section>"
+    assert h.extract(page(f"<article>{body}{long}</article>"), w) == expected

@@ -56,27 +56,40 @@ _TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "fig
 LEAST, MOST, PRIOR = -4.0, 1.0, 50.0
 
 
-def _is_box(name: str, attributes: str, inside: bool) -> bool:
-    if name in BOXES or (name == "header" and not inside):
-        return True
+SURE, MAYBE, LESS = 3, 2, 1
+
+
+def _box(name: str, attributes: str, inside: bool) -> int:
+    """SURE: never content. MAYBE: a form, or named as a box; what it holds decides. LESS: a box is named after other parts of a name."""
+    if name in BOXES and name != "form" or (name == "header" and not inside):
+        return SURE
+    found = MAYBE if name == "form" else 0
     for key, value in _NAMES.findall(attributes) if attributes else ():
         words = value.strip("\"'").lower()
         if key.lower() == "role":
             if words in BOX_ROLES:
-                return True
+                found = MAYBE if words == "form" else SURE
         elif name not in ("html", "body", *ARTICLE) or "comment" in words:
-            if not BOX_NAMES.isdisjoint(_PARTS.split(words)):
-                return True
-    return False
+            for one in words.split():
+                parts = [x for x in _PARTS.split(one) if x]
+                if not BOX_NAMES.isdisjoint(parts):
+                    found = max(found, MAYBE if parts[0] in BOX_NAMES else LESS)
+        if found == SURE:
+            break
+    return found
 
 
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """The page as (kind, text, inside the article) in order: kinds are `word` and `link` for runs of text, `tag:NAME`, `box`.
 
-    Text in boxes is not returned. A box ends with its own end tag, or with that of an element around it.
+    Text in boxes is not returned. A box ends with its own end tag, or with that of an element around it. A form or an element
+    that is named as a box is none if it holds a top heading or an article, or most of the page's words where no article lies
+    outside it (unless it is named after comments); its `box` token then only lowers the score where it begins.
     """
     out: list[tuple[str, str, bool]] = []
     stack: list[str] = []  # open elements other than inline ones
+    begun: list[int] = []  # for each of them, its number in maybe or -1
+    maybe: list[list] = []  # of elements that may be boxes: first token after theirs, end, whether they are named after comments
     box = 0  # depth of the stack at which the box began, plus one
     inside = links = at = 0
 
@@ -86,6 +99,31 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         elif until > at and not box:
             out.append((TAG, " ", inside > 0))
 
+    def push(name: str, kind: int, attributes: str) -> None:
+        nonlocal box, links
+        stack.append(name)
+        begun.append(-1)
+        if kind:
+            out.append((BOX, "", inside > 0))
+        if kind > LESS:
+            links = 0
+        if kind == SURE:
+            box = len(stack)
+        elif kind == MAYBE:
+            begun[-1] = len(maybe)
+            maybe.append([len(out), -1, any(x in attributes.lower() for x in ("comment", "disqus", "respond"))])
+
+    def pop() -> str:
+        nonlocal box, inside
+        name = stack.pop()
+        if (k := begun.pop()) >= 0:
+            maybe[k][1] = len(out)
+        if box > len(stack):
+            box = 0
+        elif not box:
+            inside -= name in ARTICLE
+        return name
+
     for m in _TOKEN.finditer(page):
         text(m.start())
         at = m.end()
@@ -97,14 +135,11 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         name, closing = name.lower(), m[2] == "/"
         if name in INLINE:
-            if not closing and not box and name != "a" and m[4] and _is_box(name, m[4], inside > 0):
-                stack.append(name)
-                out.append((BOX, "", inside > 0))
-                box = len(stack)
+            if not closing and not box and name != "a" and m[4] and (kind := _box(name, m[4], inside > 0)) > LESS:
+                push(name, kind, m[4])
                 continue
-            if closing and box == len(stack) and box and stack[-1] == name:
-                stack.pop()
-                box = 0
+            if closing and stack and stack[-1] == name and (box == len(stack) or begun[-1] >= 0):
+                pop()
                 continue
             if name == "a":
                 links = 0 if closing else 1
@@ -115,33 +150,39 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         if closing:
             if name in stack:
-                while stack:
-                    last = stack.pop()
-                    inside -= last in ARTICLE
-                    if box > len(stack):
-                        box = 0
-                    if last == name:
-                        break
+                while stack and pop() != name:
+                    pass
             links = 0
             if not box:
                 out.append((TAG + "/" + name, "", inside > 0))
             continue
         if name == "p" and stack and stack[-1] == "p" or name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1] == name:
-            stack.pop()  # their end tags may be missing
-            if box > len(stack):
-                box = 0
-        if not box and _is_box(name, m[4], inside > 0):
-            stack.append(name)
-            box = len(stack)
-            out.append((BOX, "", inside > 0))
-            links = 0
-            continue
-        stack.append(name)
-        inside += name in ARTICLE
+            pop()  # their end tags may be missing
+        kind = 0 if box else _box(name, m[4], inside > 0)
+        push(name, kind, m[4])
         if not box:
-            out.append((TAG + name, "", inside > 0))
+            inside += name in ARTICLE
+            if kind < MAYBE:
+                out.append((TAG + name, "", inside > 0))
     text(len(page))
-    return out
+    return _without_boxes(out, maybe) if maybe else out
+
+
+def _without_boxes(line: list[tuple[str, str, bool]], maybe: list[list]) -> list[tuple[str, str, bool]]:
+    """The line without what lies in those of the elements [start, end) that are boxes."""
+    words, main, named = [0], [0], [0]  # sums before each token
+    for kind, text, _ in line:
+        words.append(words[-1] + (len(text.split()) if kind in (WORD, LINK) else 0))
+        named.append(named[-1] + (kind in (TAG + "article", TAG + "main")))
+        main.append(main[-1] + (kind in (TAG + "h1", TAG + "article", TAG + "main")))
+    out, at = [], 0
+    for start, end, comments in maybe:
+        end = len(line) if end < 0 else end
+        if start < at or not comments and (main[end] > main[start] or not named[-1] and 2 * (words[end] - words[start]) > words[-1]):
+            continue
+        out += line[at:start]
+        at = end
+    return out + line[at:]
 
 
 def count(pages: DataFrame) -> Counter:
