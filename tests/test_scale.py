@@ -55,6 +55,21 @@ def test_grid_search_equals_brute_force(spark, cell):
     assert rows(cells, "query_id", "entry_id", "rank") == brute_top(queries, entries, 4)
 
 
+def test_approximate_search_meets_its_recall_floor(spark):
+    from ticketloom.plans.registry import all_queries
+
+    both = {name: rows(all_queries()[name](spark, "/root/testdata/sf0.001"), "query_id", "entry_id") for name in ("kb_search_ann", "kb_search_topk")}
+    exact = set(both["kb_search_topk"])
+    assert len(exact & set(both["kb_search_ann"])) >= 0.9 * len(exact) > 0
+    near = rt.search_cells  # few probes alone miss the floor that search_to_recall keeps
+    rng = np.random.default_rng(3)
+    q = spark.createDataFrame([(i, 1, rng.normal(size=8).tolist()) for i in range(40)], "query_id bigint, tenant_id bigint, embedding array<float>")
+    e = spark.createDataFrame([(i, 1, rng.normal(size=8).tolist()) for i in range(400)], "entry_id bigint, tenant_id bigint, embedding array<float>")
+    exact = rt.search_topk(q, e, 5)
+    assert rt.recall(near(q, e, 5, cells=20, probes=1), exact).first().recall < 0.9 <= rt.recall(rt.search_to_recall(q, e, 5), exact).first().recall
+    assert rt.search_to_recall(q, e.limit(0), 5).count() == 0
+
+
 def brute_limit(attempts, limit, width):
     held, out = {}, {}
     for i, key, at in sorted(attempts, key=lambda r: (r[2], r[0])):

@@ -97,19 +97,48 @@ def search_cells(
 ) -> DataFrame:
     """Approximate search for large collections: entries are clustered into cells and a query
     looks only into its `probes` nearest cells, exactly within them. `probes = cells` is exact."""
+    q, e = _in_cells(queries, entries, cells, seed)
+    return _probe(q, e, k, probes, rows)
+
+
+def search_to_recall(
+    queries: DataFrame, entries: DataFrame, k: int = TOP_K, floor: float = 0.9, rows: int = BLOCK_ROWS, seed: int = 7
+) -> DataFrame:
+    """Approximate search with as many cells as the root of the number of entries, and the fewest probes
+    that find at least the share `floor` of all exact hits of these queries."""
+    size = entries.count()
+    if not size:
+        return search_topk(queries, entries, k, rows)
+    q, e = _in_cells(queries, entries, max(1, round(size**0.5)), seed)
+    place = F.array_position("order", F.col("cell"))  # a hit is found with so many probes
+    hits = search_topk(queries, entries, k, rows).join(e.select("entry_id", "cell"), "entry_id").join(q.select("query_id", "order"), "query_id")
+    needed = sorted(tuple(r) for r in hits.groupBy(place.alias("probes")).count().collect())  # a row for each cell at most
+    found, every, probes = 0, sum(n for _, n in needed), 1
+    for probes, n in needed:
+        found += n
+        if found >= floor * every:
+            break
+    return _probe(q, e, k, probes, rows)
+
+
+def _in_cells(queries: DataFrame, entries: DataFrame, cells: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Queries with `order`, all cells from the nearest on, and entries with their `cell`."""
     vectors = entries.select("entry_id", "tenant_id", "embedding", array_to_vector("embedding").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(vectors)
-    centres = np.asarray(model.clusterCenters())  # cells x dimension, independent of the data size
-    probes = min(probes, len(centres))
+    centres = np.asarray(model.clusterCenters())  # cells x dimension
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
         x = np.stack(v.to_numpy()).astype("float64")
         far = (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
-        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype("int32")))
+        return pd.Series(list(np.argsort(far, axis=1, kind="stable").astype("int32")))
+
+    q = queries.select("query_id", "tenant_id", "embedding", nearest("embedding").alias("order"))
+    return q, model.transform(vectors).select("entry_id", "tenant_id", "embedding", F.col("prediction").alias("cell"))
+
 
-    q = queries.select("query_id", "tenant_id", "embedding", F.explode(nearest("embedding")).alias("cell"))
-    e = model.transform(vectors).select("entry_id", "tenant_id", "embedding", F.col("prediction").alias("cell"))
+def _probe(q: DataFrame, e: DataFrame, k: int, probes: int, rows: int) -> DataFrame:
+    q = q.select("query_id", "tenant_id", "embedding", F.explode(F.slice("order", 1, probes)).alias("cell"))
     return _merge(_grid(q, e, ["tenant_id", "cell"], k, rows), k)
 
 

@@ -142,7 +142,7 @@ def _(t):
 
 @query("kb_search_ann")
 def _(t):
-    return rt.recall(rt.search_cells(t.kb_queries, t.kb), hits(t))
+    return rt.search_to_recall(t.kb_queries, t.kb)
 
 
 # probing every cell must give the exact answer
