@@ -36,6 +36,20 @@ def test_runs_are_tracked_across_micro_batches(spark, tmp_path):
     assert rows(latest, "run_no", "logs", "finished", "failed") == [(1, 3, True, True), (2, 2, True, False)]
 
 
+def test_a_run_that_times_out_over_several_batches_is_reported_stuck(spark, tmp_path):
+    from ticketloom.plans.streams import run_reports
+
+    schema = "log_id bigint, ticket_id bigint, agent_name string, output string, created_at timestamp"
+    log = lambda i, ticket, agent, hours: (i, ticket, agent, "{}", START + timedelta(hours=hours))
+    parts = [
+        [log(1, 1, "triage", 0), log(2, 3, "triage", 0)], [log(3, 1, "knowledge", 0.5), log(4, 2, "triage", 5)],
+        [log(5, 2, "escalation", 10)], [log(6, 3, "escalation", 10.5)],
+    ]
+    out = run_reports(files(spark, str(tmp_path / "in"), parts, schema))
+    # the first never ends; the third was late and then went on
+    assert rows(out, "ticket_id", "run_no", "logs", "finished", "stuck") == [(1, 1, 2, False, True), (2, 1, 2, True, False), (3, 1, 2, True, False)]
+
+
 def test_daily_counts_arrive_late_but_whole(spark, tmp_path):
     schema = "tenant_id int, needs_escalation boolean, created_at timestamp"
     parts = [[(1, True, START), (1, None, START)], [(1, False, START + timedelta(hours=20)), (2, True, START)]]

@@ -60,6 +60,17 @@ def _(t):
     return sinks.latest_per_key(updates.filter("NOT stuck").drop("stuck"), ["ticket_id", "run_no"])
 
 
+def run_reports(logs):
+    """The last state of every run; `stuck` if it was reported for want of a further step and none has come since."""
+    return sinks.latest_per_key(sinks.run_to_end(jobs.run_tracker(logs)), ["ticket_id", "run_no"])
+
+
+# stream_agent_runs with its timeouts; when they fire depends on the batches, so there is no SQL twin
+@query("stream_run_reports")
+def _(t):
+    return run_reports(stream_view(t, "fx_agent_logs", "events"))
+
+
 @query("stream_resume", """
 SELECT tenant_id, ticket_id, 'awaiting_review' AS status FROM fx_tickets WHERE status IN ('new', 'in_progress')""")
 def _(t):
