@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.vectors import weighted_argmax
-from ..operators import evaluate as ev, feedback as fb
+from ..operators import evaluate as ev, feedback as fb, leaks
 from ..schema import URGENCIES
 from ..session import shared_dir
 from ..sources import readers, writers
@@ -143,6 +143,30 @@ def _(t):
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn") + 2000000000).alias("row_id"), "text", F.lit("").alias("body"))
     return fb.leak_rows(rows.unionByName(docs).unionByName(turns), keys(t), "text", "body")
 
+_PASSAGES = f"""words AS (SELECT doc_id AS row_id, string_split(lower({squeezed('text')}), ' ') AS w FROM documents WHERE text IS NOT NULL),
+item_words AS (SELECT item_id, string_split(lower({squeezed('text')}), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 7], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 6)) AS k FROM item_words)),
+starts AS (SELECT row_id, k - 1 AS place, array_to_string(w[k:k + 7], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 6)) AS k FROM words)),
+met AS (SELECT row_id, item_id, place, gram, place - row_number() OVER (PARTITION BY row_id, item_id ORDER BY place) AS island FROM starts JOIN windows USING (gram)),
+runs AS (SELECT row_id, item_id, min(place) || ':' || (count(*) + 7) AS span, min(place) AS place FROM met GROUP BY row_id, item_id, island),
+spans AS (SELECT row_id, item_id, string_agg(span, ',' ORDER BY place) AS spans FROM runs GROUP BY ALL),
+passages AS (SELECT row_id, item_id, spans, shared, n AS windows, shared / n AS share FROM spans JOIN (SELECT row_id, item_id, count(DISTINCT gram) AS shared FROM met GROUP BY ALL) s USING (row_id, item_id)
+  JOIN (SELECT item_id, count(*) AS n FROM windows GROUP BY ALL) n USING (item_id))"""
+
+
+def _documents(t):
+    return t.table("documents").withColumnRenamed("doc_id", "row_id")
+
+
+@query("eval_leak_fuzzy", f"WITH {_PASSAGES} SELECT row_id, item_id, spans, shared, windows, round(share, 6) AS share FROM passages")
+def _(t):
+    return leaks.passages(_documents(t), t.benchmark).withColumn("share", F.round("share", 6))
+
+
+@query("eval_free_rows", f"WITH {_PASSAGES} SELECT doc_id AS row_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT row_id FROM passages WHERE share >= 0.8)")
+def _(t):
+    return leaks.without_passages(_documents(t), t.benchmark).select("row_id", "lang", "source")
+
 
 _EXPORT = f"""{_KEYS}, {MESSAGES}, pred AS (SELECT * FROM fx_predictions QUALIFY row_number() OVER (PARTITION BY ticket_id, model_name ORDER BY created_at DESC, model_version DESC) = 1),
 export AS (SELECT CAST(m.ticket_id AS VARCHAR) AS ticket_id, m.tenant_id, m.text, coalesce(m.corrected_category, '') AS category, coalesce(m.corrected_urgency, '') AS urgency,
