@@ -8,7 +8,7 @@ of all queries or entries is just more cells. Candidates are merged with a per-q
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..schema import TOP_K
+from ..session import shared_dir
 
 BLOCK_ROWS = 8192
 QUERY_SLICE = 256  # a slice times a block is the largest matrix a task holds
@@ -29,7 +30,7 @@ def _pieces(df: DataFrame, keys: Sequence[str], row_id: str, rows: int, name: st
     return df.join(counts, list(keys)).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), counts
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack(vectors.to_numpy()).astype("float64")
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
@@ -38,17 +39,22 @@ def best_in_cell(k: int):
     """The k best entries per query of one cell, a slice of queries at a time."""
 
     def cell(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})]
-        if len(queries) and len(entries):
-            units, ids = _unit_rows(entries["embedding"]), entries["entry_id"].to_numpy()
-            for start in range(0, len(queries), QUERY_SLICE):
-                part = queries.iloc[start : start + QUERY_SLICE]
-                found.append(_best(part["query_id"].to_numpy(), np.round(_unit_rows(part["embedding"]) @ units.T, TIE_DIGITS), ids, k))
-        return pd.concat(found)
+        return best_of(queries, entries, lambda: unit_rows(entries["embedding"]), k)
 
     return cell
 
 
+def best_of(queries: pd.DataFrame, entries: pd.DataFrame, vectors: Callable[[], np.ndarray], k: int) -> pd.DataFrame:
+    """The k best of these entries per query; `vectors` gives the entries' rows."""
+    found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})]
+    if len(queries) and len(entries):
+        units, ids = vectors(), entries["entry_id"].to_numpy()
+        for start in range(0, len(queries), QUERY_SLICE):
+            part = queries.iloc[start : start + QUERY_SLICE]
+            found.append(_best(part["query_id"].to_numpy(), np.round(unit_rows(part["embedding"]) @ units.T, TIE_DIGITS), ids, k))
+    return pd.concat(found)
+
+
 def _best(query_ids: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     keep = min(k, similarity.shape[1])
     # everything at least as similar as the k-th best, so ties at the edge are all seen
@@ -61,22 +67,18 @@ def _best(query_ids: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int
     return pd.DataFrame({"query_id": query_ids[row], "entry_id": ids[col], "similarity": similarity[row, col]})
 
 
-def _grid(queries: DataFrame, entries: DataFrame, keys: Sequence[str], k: int, rows: int) -> DataFrame:
-    """Candidates (query_id, entry_id, similarity): the k best entries of every grid cell."""
+def grid(queries: DataFrame, entries: DataFrame, keys: Sequence[str], best: Callable, rows: int) -> DataFrame:
+    """Candidates (query_id, entry_id, similarity): what `best` finds in every grid cell. Entries without a query are not listed."""
     batches, n_batches = _pieces(queries, keys, "query_id", rows, "batch")
     blocks, n_blocks = _pieces(entries, keys, "entry_id", rows, "block")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = batches.join(n_blocks, list(keys)).withColumn("block", every("n_block")).drop("n_block")
     right = blocks.join(n_batches, list(keys)).withColumn("batch", every("n_batch")).drop("n_batch")
     cell = [*keys, "batch", "block"]
-    return (
-        left.groupBy(*cell)
-        .cogroup(right.groupBy(*cell))
-        .applyInPandas(best_in_cell(k), "query_id bigint, entry_id bigint, similarity double")
-    )
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(best, "query_id bigint, entry_id bigint, similarity double")
 
 
-def _merge(candidates: DataFrame, k: int) -> DataFrame:
+def merge(candidates: DataFrame, k: int) -> DataFrame:
     best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
     return (
         candidates.withColumn("rank", F.row_number().over(best))
@@ -89,7 +91,7 @@ def search_topk(queries: DataFrame, entries: DataFrame, k: int = TOP_K, rows: in
     """The k entries of the query's tenant closest to each query: (query_id, entry_id, rank, similarity)."""
     q = queries.select("query_id", "tenant_id", "embedding")
     e = entries.select("entry_id", "tenant_id", "embedding")
-    return _merge(_grid(q, e, ["tenant_id"], k, rows), k)
+    return merge(grid(q, e, ["tenant_id"], best_in_cell(k), rows), k)
 
 
 def search_cells(
@@ -102,23 +104,13 @@ def search_cells(
 
 
 def search_to_recall(
-    queries: DataFrame, entries: DataFrame, k: int = TOP_K, floor: float = 0.9, rows: int = BLOCK_ROWS, seed: int = 7
+    queries: DataFrame, entries: DataFrame, k: int = TOP_K, floor: float = 0.9, rows: int = BLOCK_ROWS, folder: str | None = None
 ) -> DataFrame:
-    """Approximate search with as many cells as the root of the number of entries, and the fewest probes
-    that find at least the share `floor` of all exact hits of these queries."""
-    size = entries.count()
-    if not size:
-        return search_topk(queries, entries, k, rows)
-    q, e = _in_cells(queries, entries, max(1, round(size**0.5)), seed)
-    place = F.array_position("order", F.col("cell"))  # a hit is found with so many probes
-    hits = search_topk(queries, entries, k, rows).join(e.select("entry_id", "cell"), "entry_id").join(q.select("query_id", "order"), "query_id")
-    needed = sorted(tuple(r) for r in hits.groupBy(place.alias("probes")).count().collect())  # a row for each cell at most
-    found, every, probes = 0, sum(n for _, n in needed), 1
-    for probes, n in needed:
-        found += n
-        if found >= floor * every:
-            break
-    return _probe(q, e, k, probes, rows)
+    """Approximate search that finds at least the share `floor` of the exact hits of the measuring queries, over an index that
+    is saved below `folder` (`ann.search_measured`, which also gives the figures)."""
+    from .ann import search_measured
+
+    return search_measured(entries, queries, folder or shared_dir(entries.sparkSession, "ann"), k, (1 + floor) / 2, rows)[0]
 
 
 def _in_cells(queries: DataFrame, entries: DataFrame, cells: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +131,7 @@ def _in_cells(queries: DataFrame, entries: DataFrame, cells: int, seed: int) ->
 
 def _probe(q: DataFrame, e: DataFrame, k: int, probes: int, rows: int) -> DataFrame:
     q = q.select("query_id", "tenant_id", "embedding", F.explode(F.slice("order", 1, probes)).alias("cell"))
-    return _merge(_grid(q, e, ["tenant_id", "cell"], k, rows), k)
+    return merge(grid(q, e, ["tenant_id", "cell"], best_in_cell(k), rows), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
