@@ -1,4 +1,5 @@
-"""Help documents: text of files and pages (Arrow batches), and headings, pieces and sections as column expressions.
+"""Help documents: text of files and pages (Arrow batches), blocks and pieces as column expressions, and headings and sections
+by Arrow table functions.
 
 A document is one row, so everything below works inside the row: no exchange, no state between documents.
 """
@@ -6,10 +7,13 @@ A document is one row, so everything below works inside the row: no exchange, no
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import unescape
 from itertools import accumulate, groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from .text import strip, word_tokens
@@ -78,27 +82,32 @@ def blocks_of(content: Column) -> Column:
     return F.filter(F.transform(F.split(content, "\n\n"), lambda b: strip(b)), lambda b: b != "")
 
 
-def with_headings(blocks: Column, title: Column) -> Column:
-    """Each block with the path of headings above it: array of (is_heading, number, path, block).
+def headed(blocks: Column) -> Column:
+    """Each block with the depth and text of the heading on its first line; depth 0 for a block without one."""
 
-    A heading of some depth stays in force until one of the same or a smaller depth follows; `number` counts the headings
-    so far. The document's own title is left out of the path.
+    def row(block: Column) -> Column:
+        line = F.substring_index(block, "\n", 1)
+        marked = F.startswith(block, F.lit("#"))  # most blocks are no headings: the pattern is not tried on them
+        depth = F.when(marked, F.length(F.regexp_extract(line, HEADING_LINE, 1))).otherwise(0)
+        heading = F.when(marked, F.regexp_extract(line, HEADING_LINE, 2)).otherwise("")
+        return F.struct(depth.cast("int").alias("depth"), heading.alias("heading"), block.alias("block"))
+
+    return F.transform(blocks, row)
+
+
+class Path:
+    """The headings in force: one of some depth stays until one of the same or a smaller depth follows.
+
+    At most one heading of each depth is held, so a step costs the same however many headings came before. The document's own
+    title is left out of the path.
     """
-    heads, found = "array<struct<depth: int, heading: string>>", "array<struct<is_heading: boolean, number: int, path: string, block: string>>"
-    start = F.struct(F.array().cast(heads).alias("heads"), F.lit(0).alias("number"), F.array().cast(found).alias("found"))
 
-    def step(so_far: Column, block: Column) -> Column:
-        line = F.regexp_extract(block, r"(?dU)^([^\n]*)", 1)
-        depth = F.length(F.regexp_extract(line, HEADING_LINE, 1))
-        is_heading = depth > 0
-        fresh = F.struct(depth.alias("depth"), F.regexp_extract(line, HEADING_LINE, 2).alias("heading"))
-        above = F.when(is_heading, F.concat(F.filter(so_far["heads"], lambda h: h["depth"] < depth), F.array(fresh))).otherwise(so_far["heads"])
-        number = so_far["number"] + is_heading.cast("int")
-        path = F.array_join(F.transform(F.filter(above, lambda h: h["heading"] != title), lambda h: h["heading"]), " / ")
-        row = F.struct(is_heading.alias("is_heading"), number.alias("number"), path.alias("path"), block.alias("block"))
-        return F.struct(above.cast(heads).alias("heads"), number.alias("number"), F.concat(so_far["found"], F.array(row).cast(found)).alias("found"))
+    def __init__(self, title: str | None):
+        self.title, self.held = title, []
 
-    return F.aggregate(blocks, start, step, lambda end: end["found"])
+    def step(self, depth: int, heading: str) -> str:
+        self.held = [*(h for h in self.held if h[0] < depth), (depth, heading)]
+        return " / ".join(h for _, h in self.held if h != self.title)
 
 
 # --- pieces and sections -------------------------------------------------------------------
@@ -106,22 +115,25 @@ def with_headings(blocks: Column, title: Column) -> Column:
 Count = Callable[[Column], Column]
 
 
-def _packed(units: Column, size: Count, limit: int, glue: str) -> Column:
-    """Neighbouring texts joined by `glue` while their sizes sum to at most `limit`."""
+def _piece(text: Column, size: Column) -> Column:
+    return F.struct(text.alias("text"), size.cast("int").alias("size"))
+
+
+def _packed(units: Column, limit: int, glue: str) -> Column:
+    """Neighbouring pieces (text, size) joined by `glue` while their sizes sum to at most `limit`: the texts."""
     start = F.struct(F.array().cast("array<string>").alias("full"), F.lit("").alias("held"), F.lit(0).alias("used"))
 
     def step(so_far: Column, unit: Column) -> Column:
-        n = size(unit).cast("int")
-        fits = (so_far["used"] > 0) & (so_far["used"] + n <= limit)
+        fits = (so_far["used"] > 0) & (so_far["used"] + unit["size"] <= limit)
         closed = F.when(~fits & (so_far["used"] > 0), F.concat(so_far["full"], F.array(so_far["held"]))).otherwise(so_far["full"])
-        held = F.when(fits, F.concat(so_far["held"], F.lit(glue), unit)).otherwise(unit)
-        return F.struct(closed.alias("full"), held.alias("held"), (F.when(fits, so_far["used"]).otherwise(0) + n).alias("used"))
+        held = F.when(fits, F.concat(so_far["held"], F.lit(glue), unit["text"])).otherwise(unit["text"])
+        return F.struct(closed.alias("full"), held.alias("held"), (F.when(fits, so_far["used"]).otherwise(0) + unit["size"]).alias("used"))
 
     return F.aggregate(units, start, step, lambda end: F.when(end["used"] > 0, F.concat(end["full"], F.array(end["held"]))).otherwise(end["full"]))
 
 
 def pieces_of(paragraph: Column, limit: int, size: Count = word_tokens) -> Column:
-    """A paragraph in pieces of at most `limit`: whole, by sentences, and a longer sentence by words.
+    """A paragraph above `limit` in pieces (text, size) of at most `limit`: by sentences, and a longer sentence by words.
 
     With a size other than words, a stretch of `limit` words that is still too large is cut into stretches of characters.
     """
@@ -130,7 +142,7 @@ def pieces_of(paragraph: Column, limit: int, size: Count = word_tokens) -> Colum
         words = F.filter(F.split(sentence, r"(?U)\s+"), lambda w: w != "")
         last = F.greatest(F.floor((F.size(words) - 1) / limit), F.lit(0)).cast("int")
         runs = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * limit + 1, limit), " "))
-        return runs if size is word_tokens else F.flatten(F.transform(runs, by_letters))
+        return sized(runs if size is word_tokens else F.flatten(F.transform(runs, by_letters)))
 
     def by_letters(run: Column) -> Column:
         wide = F.greatest(F.floor(F.length(run) * limit / F.greatest(size(run), F.lit(1))), F.lit(1)).cast("int")
@@ -138,32 +150,109 @@ def pieces_of(paragraph: Column, limit: int, size: Count = word_tokens) -> Colum
         cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.substr(run, k * wide + 1, wide))
         return F.when(size(run) <= limit, F.array(run)).otherwise(cut)
 
-    sentences = F.split(paragraph, AFTER_SENTENCE)
-    units = F.flatten(F.transform(sentences, lambda s: F.when(size(s) <= limit, F.array(s)).otherwise(by_words(s))))
-    return F.when(size(paragraph) <= limit, F.array(paragraph)).otherwise(_packed(units, size, limit, " "))
+    def sized(texts: Column) -> Column:
+        return F.transform(texts, lambda s: _piece(s, size(s)))
+
+    units = F.flatten(F.transform(sized(F.split(paragraph, AFTER_SENTENCE)), lambda s: F.when(s["size"] <= limit, F.array(s)).otherwise(by_words(s["text"]))))
+    return sized(_packed(units, limit, " "))
+
+
+def measured_blocks(content: Column, limit: int, size: Count = word_tokens) -> Column:
+    """The blocks of a text as (depth, heading, pieces): the text under the heading line in pieces (text, size) of at most `limit`."""
+    none = F.array().cast("array<struct<text: string, size: int>>")
+
+    def body(b: Column) -> Column:
+        under = strip(F.regexp_replace(b["block"], r"(?d)^[^\n]*\n?", ""))  # a heading's own block, which is stripped already
+        return F.struct(b["depth"].alias("depth"), b["heading"].alias("heading"), F.when(b["depth"] > 0, under).otherwise(b["block"]).alias("body"))
+
+    def counted(b: Column) -> Column:
+        return F.struct(b["depth"].alias("depth"), b["heading"].alias("heading"), _piece(b["body"], size(b["body"])).alias("whole"))
 
+    def row(b: Column) -> Column:
+        whole = b["whole"]
+        cut = F.when(whole["size"] > limit, pieces_of(whole["text"], limit, size)).when(whole["text"] == "", none).otherwise(F.array(whole))
+        return F.struct(b["depth"].alias("depth"), b["heading"].alias("heading"), cut.alias("pieces"))
 
-def sections_of(title: Column, content: Column, limit: int, size: Count = word_tokens) -> Column:
-    """The sections of a document in order: array of (title, content).
+    # one step after the other: each value is computed once for a block
+    return F.transform(F.transform(F.transform(headed(blocks_of(content)), body), counted), row)
 
-    The paragraphs under one heading are packed together up to `limit`; a section's title carries the path of headings.
+
+# --- table functions -----------------------------------------------------------------------
+
+
+def _fields(column: pa.Array) -> tuple[list[int], dict[str, pa.Array]]:
+    """The ends of a list column's rows, and the fields of all its structs in order."""
+    flat = column.flatten()
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0))).tolist()
+    return ends, {name: flat.field(k) for k, name in enumerate(flat.type.names)}
+
+
+def block_table(key: str):
+    """Table function over (document_id, title, blocks as `headed` gives them): each block with its position and path."""
+
+    @F.arrow_udtf(returnType=f"document_id {key}, position int, is_heading boolean, path string, block string")
+    class Blocks:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            ends, found = _fields(batch.column(2))
+            depth, heading = found["depth"].to_pylist(), found["heading"]
+            size, paths = np.diff([0, *ends]), []
+            for title, start, end in zip(batch.column(1).to_pylist(), [0, *ends], ends):
+                own, path = Path(title), ""
+                for k in range(start, end):
+                    if depth[k]:
+                        path = own.step(depth[k], heading[k].as_py())
+                    paths.append(path)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            position = np.arange(len(depth)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.table([batch.column(0).take(at), pa.array(position.astype(np.int32)), pc.greater(found["depth"], 0), pa.array(paths, pa.string()), found["block"]],
+                           ["document_id", "position", "is_heading", "path", "block"])
+
+    return Blocks
+
+
+def section_table(key: str, tenant: str, limit: int):
+    """Table function over (document_id, tenant_id, title, blocks as `measured_blocks` gives them): the sections in order.
+
+    One pass over the pieces of a document: those under one heading go together while their sizes sum to at most `limit`, and a
+    section's title carries the path of headings.
     """
-    rows = with_headings(blocks_of(content), title)
-    bodies = F.transform(
-        rows,
-        lambda r: F.struct(
-            r["number"].alias("number"),
-            F.when(r["path"] != "", F.concat(title, F.lit(": "), r["path"])).otherwise(title).alias("title"),
-            strip(F.when(r["is_heading"], F.regexp_replace(r["block"], r"(?d)^[^\n]*\n?", "")).otherwise(r["block"])).alias("body"),
-        ),
-    )
-    named = F.filter(bodies, lambda b: b["body"] != "")
-    # under each heading: all its paragraphs' pieces, packed
-    numbers = F.array_distinct(F.transform(named, lambda b: b["number"]))
-
-    def under(number: Column) -> Column:
-        own = F.filter(named, lambda b: b["number"] == number)
-        pieces = F.flatten(F.transform(own, lambda b: pieces_of(b["body"], limit, size)))
-        return F.transform(_packed(pieces, size, limit, "\n\n"), lambda c: F.struct(F.element_at(own, 1)["title"].alias("title"), c.alias("content")))
-
-    return F.flatten(F.transform(numbers, under))
+
+    @F.arrow_udtf(returnType=f"document_id {key}, tenant_id {tenant}, position int, title string, content string")
+    class Sections:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            ends, found = _fields(batch.column(3))
+            depth, heading = found["depth"].to_pylist(), found["heading"]
+            piece_ends, pieces = _fields(found["pieces"])
+            sizes, texts = pieces["size"].to_pylist(), pieces["text"].to_pylist()
+            of, positions, titles, contents = [], [], [], []
+            piece = 0
+            for row, (title, start, end) in enumerate(zip(batch.column(2).to_pylist(), [0, *ends], ends)):
+                own, name, first = Path(title), title, len(of)
+                held, used = [], 0
+
+                def close() -> None:
+                    if held:
+                        of.append(row)
+                        positions.append(len(of) - 1 - first)
+                        titles.append(name)
+                        contents.append("\n\n".join(held))
+
+                for k in range(start, end):
+                    if depth[k]:
+                        close()
+                        held, used = [], 0
+                        path = own.step(depth[k], heading[k].as_py())
+                        name = f"{title}: {path}" if path else title
+                    while piece < piece_ends[k]:
+                        if used and used + sizes[piece] > limit:
+                            close()
+                            held, used = [], 0
+                        held.append(texts[piece])
+                        used += sizes[piece]
+                        piece += 1
+                close()
+            at = pa.array(of, pa.int64())
+            yield pa.table([batch.column(0).take(at), batch.column(1).take(at), pa.array(positions, pa.int32()), pa.array(titles, pa.string()), pa.array(contents, pa.string())],
+                           ["document_id", "tenant_id", "position", "title", "content"])
+
+    return Sections

@@ -26,9 +26,13 @@ def squeeze(text: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
 
 
+#: The white space of Unicode (what (?U)\\s matches): fixed values
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: ColumnOrName) -> Column:
-    """Without whitespace of any kind at either end."""
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+\z", "")
+    """Without whitespace of any kind at either end; only the ends are looked at."""
+    return F.btrim(_c(text), F.lit(WHITE_SPACE))
 
 
 def leak_key(text: ColumnOrName) -> Column:

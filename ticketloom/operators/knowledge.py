@@ -129,10 +129,14 @@ def within_limit(entries: DataFrame, text: Column, limit: int, count: Callable[[
 
 
 def chunk_sections(docs: DataFrame, limit: int = SECTION_TOKENS, count: Callable[[Column], Column] = word_tokens) -> DataFrame:
-    """Sections of documents (document_id, tenant_id, title, content) with zero-based positions."""
-    found = d.sections_of(F.col("title"), F.coalesce("content", F.lit("")), limit, count)
-    rows = docs.select("document_id", "tenant_id", F.posexplode(found).alias("position", "section"))
-    return rows.select("document_id", "tenant_id", "position", F.col("section.title").alias("title"), F.col("section.content").alias("content"))
+    """Sections of documents (document_id, tenant_id, title, content) with zero-based positions.
+
+    Linear in the length, blocks and headings of a document. A null or empty content has no section, a null title none to show.
+    """
+    kinds = dict(docs.dtypes)
+    blocks = d.measured_blocks(F.coalesce("content", F.lit("")), limit, count)
+    rows = docs.select("document_id", "tenant_id", "title", blocks.alias("blocks"))
+    return d.section_table(kinds["document_id"], kinds["tenant_id"], limit)(rows.asTable())
 
 
 def part_numbers(sections: DataFrame) -> DataFrame:
@@ -156,8 +160,8 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
 def heading_blocks(docs: DataFrame) -> DataFrame:
     """Blocks with the path of headings above them, the document's own title left out."""
-    rows = d.with_headings(d.blocks_of(F.col("content")), F.col("title"))
-    return docs.select("document_id", F.posexplode(rows).alias("position", "row")).select("document_id", "position", "row.is_heading", "row.path", "row.block")
+    rows = docs.select("document_id", "title", d.headed(d.blocks_of(F.coalesce("content", F.lit("")))).alias("blocks"))
+    return d.block_table(dict(docs.dtypes)["document_id"])(rows.asTable())
 
 
 def document_status(docs: DataFrame, sections: DataFrame, most: int = MAX_SECTIONS) -> DataFrame:
