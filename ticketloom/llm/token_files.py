@@ -9,6 +9,7 @@ systems (local and shared folders, HDFS, S3, GCS), by the folder's address.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -29,12 +30,39 @@ from .wavelet import Shard, build
 END = 1  # the id after each document
 SHARD = 1 << 22
 MANIFEST = "part int, shard int, file string, docs long, tokens long, bytes long"
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words, and distinct pieces, whose ids a worker remembers.
+REMEMBERED = 350_000
+
+
+#: Words of these characters alone have the same letters before and after normalisation, but for their case.
+_PLAIN = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+#: The tokenizer file's own split pattern for such words (a fixed value, letters and digits written out).
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+
+class _Pieces(dict):
+    """Ids of lower-case pieces, by the library's merges; each piece is merged once."""
+
+    def __init__(self, library: Tokenizer, kind: np.dtype):
+        super().__init__()
+        self.merge, self.kind = library.model.tokenize, kind
+        # the file writes bytes that are no visible character as code points from 256 on
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in visible]
+        self.shown = {b: 256 + k for k, b in enumerate(hidden)}
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        ids = self[piece] = np.array([t.id for t in self.merge(letters)], self.kind).tobytes()
+        return ids
 
 
 class Ids:
-    """Ids of whole texts by a tokenizer file that drops white space: each word between ASCII blanks goes to the library once."""
+    """Ids of whole texts by a tokenizer file that lower-cases and drops white space.
+
+    Each word between ASCII blanks is looked up once. Plain words are cut into the file's pieces, whose merges the library does
+    once a piece; all others go to the library whole.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -42,21 +70,31 @@ class Ids:
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if top <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.library, self.kind)
+
+    def _learn(self, words: list[str]) -> None:
+        others = []
+        for word in words:
+            if _PLAIN.fullmatch(word):
+                self.known[word] = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word.lower())))
+            else:
+                others.append(word)
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[word] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian ids of each text, the end id last; null is empty."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         lists = words.cast(pa.large_list(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, self.kind).tobytes()
-        parts = [self.known[w] for w in distinct]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for held in (self.known, self.pieces):
+            if len(held) > REMEMBERED:
+                held.clear()
+        self._learn([w for w in distinct if w not in self.known])
+        parts = list(map(self.known.__getitem__, distinct))
         flat = np.frombuffer(b"".join(parts), self.kind)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
         first = np.cumsum(size) - size
@@ -100,7 +138,7 @@ def write(
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=8_000_000):
             ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
             part = np.searchsorted(bounds, ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), pa.array(own.encode(batch.column(1)), pa.binary())], ["id", "part", "ids"])
