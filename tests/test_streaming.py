@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,9 +11,9 @@ from ticketloom.streaming import jobs, sinks
 START = datetime(2026, 1, 1)
 
 
-def files(spark, path, parts, schema):
+def files(spark, path, parts, schema, first=0):
     """One file per part, so that each is its own micro-batch, oldest first."""
-    for n, part in enumerate(parts):
+    for n, part in enumerate(parts, first):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/{n:03d}")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
@@ -27,6 +28,73 @@ def test_limits_hold_across_micro_batches(spark, tmp_path):
     assert out.select("batch_id").distinct().count() > 1
 
 
+def test_held_attempts_are_judged_as_in_the_batch_form(spark, tmp_path):
+    """Shuffled within the lateness, over several batches and a restart, with the rest read back from the state."""
+    from ticketloom.operators import limits
+
+    rng = random.Random(5)
+    attempts = [(i, f"k{rng.randrange(3)}", i * 7 + rng.randrange(5)) for i in range(150)]
+    schema = "attempt_id bigint, who string, ts timestamp"
+    late = sorted(attempts, key=lambda r: r[2] + rng.randrange(300))  # arrives up to 300 seconds late
+    parts = [[(i, k, START + timedelta(seconds=t)) for i, k, t in late[n : n + 40]] for n in range(0, 150, 40)]
+    base, source = str(tmp_path / "run"), str(tmp_path / "in")
+    out = None
+    for upto in (2, 4):  # the second time the same checkpoint goes on
+        stream = files(spark, source, parts[upto - 2 : upto], schema, upto - 2)
+        out = sinks.run_to_end(jobs.rate_limited(stream, "who", 3, 60, "301 seconds"), base=base)
+    judged = {r.attempt_id: r.allowed for r in out.collect()}
+    rest = {r.attempt_id: r.allowed for r in jobs.undecided(spark, f"{base}/checkpoint", 3, 60).collect()}
+    assert judged and rest and not set(judged) & set(rest)
+    assert {**judged, **rest} == brute_limit(attempts, 3, 60)
+    table = spark.createDataFrame([(i, k, START + timedelta(seconds=t)) for i, k, t in attempts], schema)
+    assert {r.attempt_id: r.allowed for r in limits.decisions(table, "who", 3, 60).collect()} == {**judged, **rest}
+
+
+def test_state_of_a_limiter_is_empty_after_the_window(spark, tmp_path):
+    schema = "attempt_id bigint, who string, ts timestamp"
+    row = lambda i, who, s: (i, who, START + timedelta(seconds=s))
+    parts = [[row(k, "a", k) for k in range(9)], [row(20, "b", 100_000)], [row(21, "c", 200_000)]]
+    base = str(tmp_path / "run")
+    out = sinks.run_to_end(jobs.rate_limited(files(spark, str(tmp_path / "in"), parts, schema), "who", 3, 60, "1 minute"), base=base)
+    assert rows(out.filter("allowed"), "attempt_id") == [(0,), (1,), (2,), (20,)]
+    held = {name: rows(jobs.state_of(spark, f"{base}/checkpoint", name), "key") for name in ("pending", "allowed")}
+    assert held == {"pending": [("c",)], "allowed": []}
+
+
+def test_late_steps_reach_the_run_they_belong_to(spark, tmp_path):
+    """Logs in any order within the lateness: the runs of the batch form, with the stuck ones marked."""
+    from ticketloom.operators.runs import agent_runs
+
+    rng = random.Random(11)
+    logs = []
+    for ticket in range(12):
+        at = rng.randrange(600)
+        for _ in range(rng.randrange(1, 40)):
+            at += rng.choice([1, 5, 30, 30, 240])
+            agent = rng.choice(["triage", "knowledge", "draft", "order_lookup", "escalation"])
+            logs.append((len(logs), ticket, agent, '{"error": "x"}' if rng.random() < 0.1 else "{}", START + timedelta(minutes=at)))
+    schema = "log_id bigint, ticket_id bigint, agent_name string, output string, created_at timestamp"
+    shuffled = sorted(logs, key=lambda r: r[4] + timedelta(minutes=rng.randrange(120)))
+    parts = [shuffled[n::1][:60] for n in range(0, len(shuffled), 60)]
+    out = sinks.run_to_end(jobs.run_tracker(files(spark, str(tmp_path / "in"), parts, schema), "2 hours", "2 hours"), "update")
+    latest = sinks.latest_per_key(out, ["ticket_id", "run_no"], "version")
+    batch = agent_runs(spark.createDataFrame(logs, schema))
+    assert len(parts) > 2 and rows(latest, "ticket_id", "run_no", "logs", "finished", "failed") == rows(batch, "ticket_id", "run_no", "logs", "finished", "failed")
+    newest = max(r[4] for r in logs) - timedelta(hours=2)
+    numbered = {}
+    for log_id, ticket, agent, output, at in sorted(logs, key=lambda r: (r[1], r[4], r[0])):
+        runs = numbered.setdefault(ticket, [])
+        if agent == "triage" or not runs:
+            runs.append([])
+        runs[-1].append((at, agent == "escalation" or "error" in output))
+    expected = []
+    for ticket, runs in numbered.items():
+        for n, run in enumerate(runs):
+            until = runs[n + 1][0][0] if n + 1 < len(runs) else newest
+            expected.append((ticket, n + 1, not any(e for _, e in run) and until >= run[-1][0] + timedelta(hours=2)))
+    assert rows(latest, "ticket_id", "run_no", "stuck") == sorted(expected, key=str) and any(s for *_, s in expected)
+
+
 def test_runs_are_tracked_across_micro_batches(spark, tmp_path):
     schema = "log_id bigint, ticket_id bigint, agent_name string, output string, created_at timestamp"
     log = lambda i, agent, out="{}": (i, 1, agent, out, START + timedelta(minutes=i))

@@ -40,8 +40,11 @@ def _(t):
 
 @query("stream_rate_limit", f"WITH RECURSIVE {_walk('u', 'fx_attempts', 'visitor', 2)} SELECT attempt_id, allowed FROM u")
 def _(t):
-    attempts = stream_view(t, "fx_attempts", "events")
-    return sinks.run_to_end(jobs.rate_limited(attempts, "visitor", 2, SECONDS)).select("attempt_id", "allowed")
+    """Verdicts of the stream, and of the attempts that it still holds at the end of its input."""
+    attempts, base = stream_view(t, "fx_attempts", "events"), shared_dir(t.spark, "limits")
+    judged = sinks.run_to_end(jobs.rate_limited(attempts, "visitor", 2, SECONDS, "1 hour"), base=base)
+    rest = jobs.undecided(t.spark, f"{base}/checkpoint", 2, SECONDS)
+    return judged.select("attempt_id", "allowed").unionByName(rest.select("attempt_id", "allowed"))
 
 
 @query("stream_rate_suspects", """
@@ -54,23 +57,27 @@ def _(t):
     return out.select("key", F.unix_micros("window_start").alias("start_us"), "attempts")
 
 
-@query("stream_agent_runs", f"WITH {_RUNS} SELECT ticket_id, run_no, logs, finished, failed FROM runs")
-def _(t):
-    updates = sinks.run_to_end(jobs.run_tracker(stream_view(t, "fx_agent_logs", "events")))
-    return sinks.latest_per_key(updates.filter("NOT stuck").drop("stuck"), ["ticket_id", "run_no"])
+def run_reports(logs):
+    """The last state of every run; `stuck` if its event-time deadline passed before anything further came."""
+    return sinks.latest_per_key(sinks.run_to_end(jobs.run_tracker(logs), "update"), ["ticket_id", "run_no"], "version")
 
 
-def run_reports(logs):
-    """The last state of every run; `stuck` if it was reported for want of a further step and none has come since."""
-    return sinks.latest_per_key(sinks.run_to_end(jobs.run_tracker(logs)), ["ticket_id", "run_no"])
+# an hour without a step, before the next run or the last watermark (an hour behind the newest log)
+_REPORTS = f"""WITH {_RUNS}, last AS (SELECT ticket_id, run_no, epoch_ms(max(created_at)) AS last_ms, epoch_ms(min(created_at)) AS first_ms FROM numbered GROUP BY ALL),
+until AS (SELECT ticket_id, CAST(run_no AS BIGINT) AS run_no, last_ms, coalesce(lead(first_ms) OVER (PARTITION BY ticket_id ORDER BY run_no), (SELECT epoch_ms(max(created_at)) - 3600000 FROM fx_agent_logs)) AS until_ms FROM last)
+SELECT ticket_id, run_no, logs, finished, failed, NOT finished AND until_ms >= last_ms + 3600000 AS stuck FROM runs JOIN until USING (ticket_id, run_no)"""
 
 
-# stream_agent_runs with its timeouts; when they fire depends on the batches, so there is no SQL twin
-@query("stream_run_reports")
+@query("stream_agent_runs", _REPORTS)
 def _(t):
     return run_reports(stream_view(t, "fx_agent_logs", "events"))
 
 
+@query("stream_run_reports", f"SELECT * FROM ({_REPORTS}) WHERE stuck")
+def _(t):
+    return run_reports(stream_view(t, "fx_agent_logs", "events")).where("stuck")
+
+
 @query("stream_resume", """
 SELECT tenant_id, ticket_id, 'awaiting_review' AS status FROM fx_tickets WHERE status IN ('new', 'in_progress')""")
 def _(t):

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # a hot tenant is worth one more exchange; an unsplit skewed task is not
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # lists, maps and timers in the state of a stream
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.tickets import contact_intake
 from ..operators.triage import triage
@@ -48,75 +52,229 @@ def sliding_suspects(attempts: DataFrame, key: str, limit: int, length: str = "1
     )
 
 
-def rate_limited(attempts: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
-    """Allow or refuse each attempt as it arrives: (attempt_id, key, at, allowed).
+# --- rate limits ---------------------------------------------------------------------------
 
-    The state of a key is at most `limit` timestamps and is dropped once a window has passed
-    without an attempt. The size of a micro-batch bounds what one key holds at a time.
+VERDICT = "attempt_id bigint, key string, at bigint, allowed boolean"
+
+
+def take_turns(waiting: list[tuple[int, int]], held: list[int], limit: int, width: int) -> tuple[list[bool], list[int]]:
+    """Verdicts of attempts (at, attempt_id), oldest first, after the allowed times `held`; the times that still count."""
+    room = deque(sorted(held))
+    verdicts = []
+    for at, _ in waiting:
+        while room and room[0] <= at - width:
+            room.popleft()
+        verdicts.append(len(room) < limit)
+        if verdicts[-1]:
+            room.append(at)
+    return verdicts, list(room)
+
+
+def _verdicts(key: str, waiting: list[tuple[int, int]], allowed: list[bool]) -> pd.DataFrame:
+    ids, at = [i for _, i in waiting], [t for t, _ in waiting]
+    return pd.DataFrame({"attempt_id": pd.Series(ids, dtype="int64"), "key": key, "at": pd.Series(at, dtype="int64"), "allowed": pd.Series(allowed, dtype="bool")})
+
+
+class Limiter(StatefulProcessor):
+    """Judges attempts as they come, or, if it holds them, in the order of their times once the watermark has passed them.
+
+    `pending`: attempts that an earlier one may still precede. `allowed`: at most `limit` times of the last window; an event-time
+    timer removes them once the window has passed (a time-to-live of the state store runs on the wall clock, so verdicts would
+    depend on the speed of the stream).
     """
-    width = seconds * 1_000_000
-
-    def step(group_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(frames)).sort_values(["at", "attempt_id"])
-        verdicts = []
-        for at in batch["at"].to_numpy():
-            held = [h for h in held if h > at - width]
-            verdicts.append(len(held) < limit)
-            if verdicts[-1]:
-                held.append(int(at))
-        state.update((held,))
-        # the watermark may already be past this key's last attempt
-        state.setTimeoutTimestamp(max(int(batch["at"].iloc[-1]) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"attempt_id": batch["attempt_id"], "key": group_key[0], "at": batch["at"], "allowed": verdicts})
-
-    keyed = attempts.withWatermark("ts", "1 hour").select(F.col(key).alias("key"), "attempt_id", "ts", F.unix_micros("ts").alias("at"))
-    return keyed.groupBy("key").applyInPandasWithState(
-        step, "attempt_id bigint, key string, at bigint, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
 
+    def __init__(self, limit: int, width: int, hold: bool):
+        self.limit, self.width, self.hold = limit, width, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "at bigint, attempt_id bigint")
+        self.allowed = handle.getListState("allowed", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows))
+        fresh = sorted(zip(batch["at"].tolist(), batch["attempt_id"].tolist()))
+        if self.hold:
+            self.pending.appendList(fresh)
+            self._wake(fresh[0][0], timerValues)
+        else:
+            yield from self._judge(key[0], fresh, [], fresh[-1][0], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        pending = sorted(tuple(r) for r in self.pending.get()) if self.pending.exists() else []
+        ripe = [r for r in pending if r[0] <= passed]
+        _replace(self.pending, pending[len(ripe) :])
+        yield from self._judge(key[0], ripe, pending[len(ripe) :], passed, timerValues)
+
+    def _judge(self, key: str, ripe: list, rest: list, now: int, timerValues):
+        held = [r[0] for r in self.allowed.get()] if self.allowed.exists() else []
+        verdicts, held = take_turns(ripe, held, self.limit, self.width)
+        held = [t for t in held if t > (rest[0][0] if rest else now) - self.width]
+        _replace(self.allowed, [(t,) for t in held])
+        if rest:
+            self._wake(rest[0][0], timerValues)
+        elif held:
+            self._wake(max(held) + self.width, timerValues)
+        if ripe:
+            yield _verdicts(key, ripe, verdicts)
+
+    def _wake(self, at: int, timerValues) -> None:
+        self.handle.registerTimer(max(-(-at // 1000), timerValues.getCurrentWatermarkInMs() + 1))
 
-def run_tracker(logs: DataFrame, stuck_after: str = "1 hour") -> DataFrame:
-    """Runs from arriving step logs: one row per run each time it changes, closed at the escalation
-    step, an error, or the next triage step; a run without a step for `stuck_after` is reported.
+    def close(self) -> None:
+        pass
 
-    State per ticket: the open run's number, size and flags, not its logs.
+
+def _replace(state, values: list[tuple]) -> None:
+    state.put(values) if values else state.clear()
+
+
+def rate_limited(attempts: DataFrame, key: str, limit: int, seconds: int, lateness: str | None = None) -> DataFrame:
+    """Allow or refuse each attempt: (attempt_id, key, at, allowed).
+
+    Without `lateness`, attempts are judged as they arrive, each micro-batch in the order of its times. With it, an attempt is
+    judged once the watermark says that nothing earlier can arrive: verdicts then equal those of `limits.decisions` whatever
+    the order of arrival, as long as no attempt is later than `lateness`. Attempts that the watermark has not passed when the
+    stream ends are in its state: `undecided` gives their verdicts. The state of a key is its held attempts and at most `limit`
+    times, and is gone once a window has passed without an attempt. Needs the RocksDB state store, which `session.configure`
+    chooses.
     """
-    wait = int(pd.Timedelta(stuck_after).total_seconds() * 1000)
+    shaped = attempts.withWatermark("ts", lateness or "1 hour").select(F.col(key).alias("key"), "attempt_id", "ts", F.unix_micros("ts").alias("at"))
+    limiter = Limiter(limit, seconds * 1_000_000, lateness is not None)
+    return shaped.groupBy("key").transformWithStateInPandas(limiter, VERDICT, "Append", "EventTime")
+
+
+def state_of(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """(key, value) rows of a list in the state that a stopped stream has left."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    return held.select("key.*", F.col("list_element.*"))
+
+
+def undecided(spark: SparkSession, checkpoint: str, limit: int, seconds: int) -> DataFrame:
+    """Verdicts on the attempts that a stopped `rate_limited` stream still holds, judged as if no earlier one were to come."""
+
+    def judge(key, pending: pd.DataFrame, allowed: pd.DataFrame) -> pd.DataFrame:
+        waiting = sorted(zip(pending["at"].tolist(), pending["attempt_id"].tolist()))
+        return _verdicts(key[0], waiting, take_turns(waiting, allowed["at"].tolist(), limit, seconds * 1_000_000)[0])
+
+    pending, allowed = (state_of(spark, checkpoint, name) for name in ("pending", "allowed"))
+    return pending.groupBy("key").cogroup(allowed.groupBy("key")).applyInPandas(judge, VERDICT)
+
+
+# --- runs ----------------------------------------------------------------------------------
 
-    def step(group_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ticket = group_key[0]
-        row = lambda s, stuck=False: (ticket, s[0], s[1], s[2], s[3], stuck)
-        columns = ["ticket_id", "run_no", "logs", "finished", "failed", "stuck"]
-        if state.hasTimedOut:
-            current = tuple(state.get)  # stays: a later run goes on from this number
-            yield pd.DataFrame([row(current, not current[2])], columns=columns)
-            return
-        current = tuple(state.get) if state.exists else (0, 0, False, False)
-        batch = pd.concat(list(frames)).sort_values(["at", "log_id"])
-        changed = {}
-        for agent, failed in zip(batch["agent_name"], batch["failed"]):
-            number, logs, finished, broken = current
-            if agent == "triage" or number == 0:
-                number, logs, finished, broken = number + 1, 0, False, False
-            current = (number, logs + 1, bool(finished or failed or agent == "escalation"), bool(broken or failed))
-            changed[number] = current
-        state.update(current)
-        if not current[2]:
-            state.setTimeoutTimestamp(max(int(batch["at"].iloc[-1]) // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([row(s) for s in changed.values()], columns=columns)
-
-    shaped = logs.withWatermark("created_at", "1 hour").select(
-        "ticket_id", "log_id", "agent_name", "created_at",
-        F.get_json_object("output", "$.error").isNotNull().alias("failed"), F.unix_micros("created_at").alias("at"),
+TRIAGE, ENDED, FAILED = 1, 2, 4  # what a step says, as bits
+REPORT = "ticket_id bigint, run_no bigint, logs bigint, finished boolean, failed boolean, stuck boolean, version bigint"
+
+
+@dataclass
+class Run:
+    """A run: where it opened, what of it lies before the watermark, and its later steps (at, log_id, bits) in order."""
+
+    opened: tuple[int, int]
+    settled: tuple[int, int, int] = (0, 0, 0)  # steps, their bits, last time
+    steps: list[tuple[int, int, int]] = field(default_factory=list)
+
+    @property
+    def logs(self) -> int:
+        return self.settled[0] + len(self.steps)
+
+    @property
+    def bits(self) -> int:
+        return reduce(or_, (b for *_, b in self.steps), self.settled[1])
+
+    @property
+    def last(self) -> int:
+        return self.steps[-1][0] if self.steps else self.settled[2]
+
+    def settle(self, passed: int) -> None:
+        old = [s for s in self.steps if s[0] <= passed]
+        if old:
+            self.settled = (self.settled[0] + len(old), reduce(or_, (b for *_, b in old), self.settled[1]), old[-1][0])
+            self.steps = self.steps[len(old) :]
+
+
+def split_runs(first: Run | None, steps: Iterable[tuple[int, int, int]]) -> list[Run]:
+    """Runs of steps in the order of their times, after the settled part of `first`: a triage step opens one, and so does the
+    first step of all."""
+    runs = [] if first is None or not first.settled[0] else [Run(first.opened, first.settled)]
+    for at, log_id, bits in sorted(set(steps)):
+        if bits & TRIAGE or not runs:
+            runs.append(Run((at, log_id)))
+        runs[-1].steps.append((at, log_id, bits))
+    return runs
+
+
+class RunTracker(StatefulProcessor):
+    """Runs of a ticket by event time. Steps after the watermark are kept one by one and split anew when one comes in between,
+    so a late step changes the run it belongs to; what the watermark has passed is kept as totals, and a run that nothing can
+    reach any more leaves the state.
+    """
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ticket = handle.getValueState("ticket", "gone bigint, version bigint")
+        steps = "at array<bigint>, log_id array<bigint>, step array<bigint>"
+        self.runs = handle.getMapState("runs", "at bigint, log_id bigint", f"logs bigint, bits bigint, last bigint, {steps}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows))
+        yield from self._step(key[0], list(zip(batch["at"].tolist(), batch["log_id"].tolist(), batch["bits"].tolist())), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._step(key[0], [], timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _held(self) -> list[Run]:
+        found = []
+        for opened, (logs, bits, last, *steps) in self.runs.iterator():
+            found.append(Run(tuple(opened), (logs, bits, last), [tuple(map(int, s)) for s in zip(*steps)]))
+        return sorted(found, key=lambda r: r.opened)
+
+    def _step(self, ticket: int, fresh: list[tuple[int, int, int]], timerValues):
+        now = timerValues.getCurrentWatermarkInMs()
+        gone, version = self.ticket.get() if self.ticket.exists() else (0, 0)
+        before = self._held()
+        runs = split_runs(before[0] if before else None, [*(s for r in before for s in r.steps), *fresh])
+        rows = []
+        for n, run in enumerate(runs):
+            until = runs[n + 1].opened[0] // 1000 if n + 1 < len(runs) else now
+            stuck = not run.bits & ENDED and until >= run.last // 1000 + self.wait
+            rows.append((ticket, gone + n + 1, run.logs, bool(run.bits & ENDED), bool(run.bits & FAILED), stuck, version + 1))
+        for run in runs:
+            run.settle(now * 1000)
+        while len(runs) > 1 and runs[1].settled[0]:
+            runs, gone = runs[1:], gone + 1
+        keep = {r.opened for r in runs}
+        for run in before:
+            if run.opened not in keep:
+                self.runs.removeKey(run.opened)
+        for run in runs:
+            self.runs.updateValue(run.opened, (*run.settled, *(list(c) for c in zip(*run.steps))) if run.steps else (*run.settled, [], [], []))
+        self.ticket.update((gone, version + 1))
+        if fresh:
+            last = runs[-1]
+            self.handle.registerTimer(max(last.last // 1000 + (1 if last.bits & ENDED else self.wait), now + 1))
+        yield pd.DataFrame(rows, columns=["ticket_id", "run_no", "logs", "finished", "failed", "stuck", "version"])
+
+
+def run_tracker(logs: DataFrame, stuck_after: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """Runs from arriving step logs, as updates: the last version of a run holds. A run is closed at the escalation step, an error,
+    or the next triage step; one that is not, and that has no step for `stuck_after` of event time before the next run or the
+    watermark, is stuck.
+
+    The runs equal those of `runs.agent_runs` whatever the order of arrival, as long as no step is later than `lateness`.
+    """
+    failed = F.coalesce(F.get_json_object("output", "$.error").isNotNull(), F.lit(False))
+    bits = F.when(F.col("agent_name") == "triage", TRIAGE).otherwise(0) + F.when(failed, ENDED + FAILED).when(F.col("agent_name") == "escalation", ENDED).otherwise(0)
+    shaped = logs.withWatermark("created_at", lateness).select(
+        "ticket_id", "log_id", "created_at", F.unix_micros("created_at").alias("at"), bits.cast("bigint").alias("bits")
     )
-    return shaped.groupBy("ticket_id").applyInPandasWithState(
-        step,
-        "ticket_id bigint, run_no bigint, logs bigint, finished boolean, failed boolean, stuck boolean",
-        "run_no bigint, logs bigint, finished boolean, failed boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    wait = int(pd.Timedelta(stuck_after).total_seconds() * 1000)
+    return shaped.groupBy("ticket_id").transformWithStateInPandas(RunTracker(wait), REPORT, "Update", "EventTime")

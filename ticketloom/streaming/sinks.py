@@ -46,20 +46,20 @@ def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all available input and read the results back from the shared folder."""
+def run_to_end(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Process all available input and read the results back from the shared folder; `base` holds `out` and `checkpoint`."""
     spark = stream.sparkSession
-    base = shared_dir(spark, "stream")
+    base = base or shared_dir(spark, "stream")
     query = start(stream, f"{base}/out", f"{base}/checkpoint", mode)
     query.awaitTermination()
     return written(spark, f"{base}/out", stream)
 
 
-def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
+def latest_per_key(updates: DataFrame, keys: list[str], version: str = "batch_id") -> DataFrame:
     """State after update-mode batches: the newest version of each key."""
-    values = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    values = [c for c in updates.columns if c not in (*keys, "batch_id", version)]
     return (
         updates.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+        .agg(F.max_by(F.struct(*values), version).alias("v"))
         .select(*keys, *[F.col("v")[c].alias(c) for c in values])
     )
