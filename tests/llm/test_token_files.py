@@ -58,7 +58,7 @@ def library():
 
 
 def test_words_one_by_one_give_the_ids_of_whole_texts():
-    given = [*texts(), None, "", " \n ", "a" * 5000]
+    given = [*texts(), None, "", " \n ", "a" * 5000, "a.b,c(d)!!e 12.5%x --y_z", "x.'s y'.t it's.", "a…b.c", "À.é,ÿ÷x"]
     t = library()
     for offset in (0, 3):  # a slice of a batch keeps its offset
         got = token_files.Ids(PATH).encode(pa.array(given).slice(offset))

@@ -31,13 +31,16 @@ END = 1  # the id after each document
 SHARD = 1 << 22
 MANIFEST = "part int, shard int, file string, docs long, tokens long, bytes long"
 #: Distinct words, and distinct pieces, whose ids a worker remembers.
-REMEMBERED = 350_000
+REMEMBERED = 700_000
 
 
 #: Words of these characters alone have the same letters before and after normalisation, but for their case.
 _PLAIN = re.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 #: The tokenizer file's own split pattern for such words (a fixed value, letters and digits written out).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+#: Texts of plain words without an apostrophe: there a run of other signs is a piece of its own, wherever it stands.
+_PLAIN_TEXT = "^[\t-\r -&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*$"
+_SIGNS = r"[!-&(-/:-@\[-`{-~]+"
 
 
 class _Pieces(dict):
@@ -86,7 +89,9 @@ class Ids:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian ids of each text, the end id last; null is empty."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        apart = pc.replace_substring_regex(texts, _SIGNS, r" \0 ")  # so "word," and "word" are one word to look up
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _PLAIN_TEXT), apart, texts))
         lists = words.cast(pa.large_list(pa.string()))
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -138,7 +143,7 @@ def write(
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in pieces(batches, limit=8_000_000):
+        for batch in pieces(batches, limit=16_000_000):
             ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
             part = np.searchsorted(bounds, ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), pa.array(own.encode(batch.column(1)), pa.binary())], ["id", "part", "ids"])

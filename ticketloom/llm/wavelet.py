@@ -34,7 +34,7 @@ def build(tokens: np.ndarray, docs: pa.RecordBatch) -> bytes:
     bits = max(1, int(tokens.max(initial=0)).bit_length())
     blocks = -(-len(tokens) // BLOCK)
     zeros, ones, places, parts = [], [], [0], []
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=1).compress
     for k in range(bits - 1, -1, -1):
         one = (tokens >> tokens.dtype.type(k) & tokens.dtype.type(1)).astype(bool)
         zeros.append(len(one) - int(np.count_nonzero(one)))
