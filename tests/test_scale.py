@@ -59,7 +59,8 @@ def test_approximate_search_meets_its_recall_floor(spark):
     from ticketloom.plans.registry import all_queries
 
     both = {name: rows(all_queries()[name](spark, "/root/testdata/sf0.001"), "query_id", "entry_id") for name in ("kb_search_ann", "kb_search_topk")}
-    exact = set(both["kb_search_topk"])
+    exact = {r for r in both["kb_search_topk"] if r[0] % 50 == 0}  # the queries that the approximate search takes
+    assert {q for q, _ in both["kb_search_ann"]} == {q for q, _ in exact}
     assert len(exact & set(both["kb_search_ann"])) >= 0.9 * len(exact) > 0
     near = rt.search_cells  # few probes alone miss the floor that search_to_recall keeps
     rng = np.random.default_rng(3)

@@ -112,9 +112,8 @@ def probed(index: Index, queries: DataFrame, probes: int) -> DataFrame:
     probes = min(probes, len(centres))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, ROWS // probes)  # a batch goes out with about ROWS vectors
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             far = _distances(_matrix(batch.column(2)), centres)
             cells = np.argpartition(far, probes - 1, axis=1)[:, :probes]
             at = pa.array(np.repeat(np.arange(batch.num_rows), probes))
