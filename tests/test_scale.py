@@ -95,6 +95,63 @@ def test_rate_limit_equals_the_sequential_limiter(spark, seed):
     assert got == expected and not all(expected.values())
 
 
+def brute_logins(attempts, limit, times, width, resets):
+    """One attempt after the other through both limiters: (id, email, address, at, right password)."""
+    held, out = {}, {}
+
+    def allow(key, most, at):
+        hits = held[key] = [h for h in held.get(key, []) if h > at - width]
+        if len(hits) < most:
+            hits.append(at)
+            return True
+        return False
+
+    for i, email, address, at, right in sorted(attempts, key=lambda r: (r[3], r[0])):
+        if not allow(("e", email), limit, at):
+            out[i] = "email limit"
+        elif not allow(("a", address), limit * times, at):
+            out[i] = "address limit"
+        else:
+            out[i] = "allowed"
+            if resets and right:
+                held[("e", email)] = []
+    return out
+
+
+@pytest.mark.parametrize("seed, resets", [(0, False), (1, True), (2, True), (3, True)])
+def test_login_limits_ask_both_keys_and_forget_after_success(spark, seed, resets):
+    rng = random.Random(seed)
+    now, attempts = 0, []
+    for i in range(400):
+        now += rng.choice([0, 0, 1, 1, 2, 25])
+        attempts.append((i, "hot" if rng.random() < 0.4 else f"e{rng.randrange(6)}", rng.choice(["x", "x", "y", None]), now, rng.choice([True, False, False, None])))
+    df = spark.createDataFrame(attempts, "attempt_id bigint, email string, address string, t bigint, right boolean").withColumn("ts", F.timestamp_seconds("t"))
+    out = limits.login_decisions(df, limit=3, address_times=2, seconds=10, succeeded="right" if resets else None)
+    got = {r["attempt_id"]: r["verdict"] for r in out.collect()}
+    assert got == brute_logins(attempts, 3, 2, 10, resets) and set(got.values()) == {"allowed", "email limit", "address limit"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_contact_limits_in_one_fold(spark, seed):
+    rng = random.Random(seed)
+    now, attempts, held, want = 0, [], {}, {}
+    for i in range(400):
+        now += rng.choice([0, 1, 1, 2, 20])
+        attempts.append((i, rng.choice(["b1", "b1", "b2", None]), f"v{rng.randrange(5)}", now))
+    for i, business, visitor, at in attempts:
+        for key in ((business, visitor), business):
+            held[key] = [h for h in held.get(key, []) if h > at - 10]
+        if len(held[business, visitor]) >= 2:
+            want[i] = "visitor limit"
+            continue
+        held[business, visitor].append(at)
+        want[i] = "allowed" if len(held[business]) < 5 else "business limit"
+        if want[i] == "allowed":
+            held[business].append(at)
+    df = spark.createDataFrame(attempts, "attempt_id bigint, business string, visitor string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r["attempt_id"]: r["verdict"] for r in limits.contact_decisions(df, 2, 5, 10).collect()} == want and len(set(want.values())) == 3
+
+
 def test_null_keys_are_kept(spark):
     from ticketloom.operators import corpus
 

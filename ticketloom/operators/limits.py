@@ -9,14 +9,19 @@ it matters:
    before, and this count needs no order between tasks;
 3. only stretches with fuller windows are folded. A window-long pause without such instants makes
    the state known again, so every stretch is folded on its own.
+
+Limiters that are asked one after the other and whose keys lie inside each other share one fold (`in_turn`); independent keys
+have one each (`login_decisions`). A key under steady attack, with a full window in every bucket, is one sequential fold: its
+verdicts depend on each other without a break.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from ..session import checkpointed
 
@@ -44,86 +49,141 @@ def suspects(attempts: DataFrame, key: str, limit: int, seconds: int) -> DataFra
     return trailing_counts(attempts, key, seconds).filter(F.col("trailing") > limit)
 
 
-def _stretches(instants: DataFrame, limit: int) -> DataFrame:
-    """Instants that must be folded, with the number of their stretch (its first full bucket).
+def _marked(attempts: DataFrame, limiters: Sequence[tuple[str, int]], seconds: int) -> DataFrame:
+    """Buckets that must be folded: (outer, bucket, stretch, full).
 
-    Neighbouring buckets with full windows form a stretch; the bucket before it is context.
+    Neighbouring buckets in which some limiter has a full window form a stretch, named by its first bucket; the bucket before
+    it is context (`full` is false): there every attempt was allowed.
     """
-    full = instants.filter(F.col("trailing") > limit).select("key", "bucket").distinct()
+    outer = limiters[-1][0]
+    full = None
+    for key, limit in limiters:
+        both = F.struct(F.col(outer).alias("outer"), F.col(key).alias("inner"))
+        crowded = trailing_counts(attempts.withColumn("__both", both), "__both", seconds).filter(F.col("trailing") > limit)
+        found = crowded.select(F.col("key.outer").alias("outer"), "bucket")
+        full = found if full is None else full.unionByName(found)
     # one row per (key, window-long bucket), not per attempt
-    along = W.partitionBy("key").orderBy("bucket")
-    islands = full.withColumn("run", F.col("bucket") - F.row_number().over(along))
-    marked = islands.withColumn("stretch", F.min("bucket").over(W.partitionBy("key", "run"))).select("key", "bucket", "stretch")
-    with_context = marked.unionByName(
-        marked.filter("bucket = stretch").select("key", (F.col("bucket") - 1).alias("bucket"), "stretch")
-    )
-    return instants.join(with_context, ["key", "bucket"])
+    along = W.partitionBy("outer").orderBy("bucket")
+    islands = full.distinct().withColumn("run", F.col("bucket") - F.row_number().over(along))
+    marked = islands.select("outer", "bucket", F.min("bucket").over(W.partitionBy("outer", "run")).alias("stretch"), F.lit(True).alias("full"))
+    return marked.unionByName(marked.filter("bucket = stretch").select("outer", (F.col("bucket") - 1).alias("bucket"), "stretch", F.lit(False).alias("full")))
 
 
-def fold_stretches(limit: int, width: int):
-    """Allowed attempts per instant, for rows sorted by (key, stretch, at).
+class Chain:
+    """Limiters asked one after the other, for attempts in the order of their times.
 
-    Goes through any number of stretches in one pass and keeps at most `limit` timestamps, whatever
-    the length of a stretch.
+    A limiter remembers the attempts it allowed even if a later one refused them, and is not asked when an earlier one refused.
+    Only times of the last window are held.
     """
 
-    def fold(batches):
-        current, held, total = None, deque(), 0
+    def __init__(self, limits: Sequence[int], width: int):
+        self.limits, self.width = limits, width
+        self.held: list[dict] = [{} for _ in limits]
+        self.recent: list[deque] = [deque() for _ in limits]
+
+    def ask(self, at: int, keys: Sequence, resets: bool) -> int:
+        """0 if the attempt is allowed, else the number of the limiter that refused it. An allowed one that `resets` clears the
+        first limiter's key."""
+        for n, (key, limit) in enumerate(zip(keys, self.limits)):
+            held, recent = self.held[n], self.recent[n]
+            while recent and recent[0][0] <= at - self.width:
+                old, name = recent.popleft()
+                times = held.get(name)
+                if times and times[0] == old:
+                    times.popleft()
+                    if not times:
+                        del held[name]
+            times = held.setdefault(key, deque())
+            if len(times) >= limit:
+                return n + 1
+            times.append(at)
+            recent.append((at, key))
+        if resets:
+            self.held[0].pop(keys[0], None)
+            self.recent[0] = deque(r for r in self.recent[0] if r[1] != keys[0])
+        return 0
+
+
+def fold_stretches(limits: Sequence[int], width: int):
+    """Verdicts for attempts sorted by (outer, stretch, at, order): one pass over any number of stretches."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, chain = None, None
         for batch in batches:
-            allowed = []
-            rows = zip(*(batch[c].tolist() for c in ("key", "stretch", "at", "n")))
-            for key, stretch, at, n in rows:
-                if (key, stretch) != current:
-                    current, held, total = (key, stretch), deque(), 0
-                while held and held[0][0] <= at - width:
-                    total -= held.popleft()[1]
-                take = max(0, min(n, limit - total))
-                if take:
-                    held.append((at, take))
-                    total += take
-                allowed.append(take)
-            out = batch[["key", "at", "n"]].assign(allowed=pd.Series(allowed, index=batch.index, dtype="int64"))
-            yield out[(batch["bucket"] >= batch["stretch"]) & (out["allowed"] < out["n"])]
+            where = batch.schema.get_field_index
+            read = lambda name: batch.column(where(name)).to_pylist()
+            refused = []
+            for outer, stretch, at, resets, *keys in zip(read("__outer"), read("stretch"), read("__at"), read("__resets"), *(read(f"__key{n}") for n in range(len(limits)))):
+                if (outer, stretch) != current:
+                    current, chain = (outer, stretch), Chain(limits, width)
+                refused.append(chain.ask(at, keys, resets))
+            columns = [*batch.columns, pa.array(refused, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "refused_by"]).filter(batch.column(where("full")))
 
     return fold
 
 
-def decisions(attempts: DataFrame, key: str, limit: int, seconds: int, order: str = "attempt_id") -> DataFrame:
+def in_turn(attempts: DataFrame, limiters: Sequence[tuple[str, int]], seconds: int, order: str = "attempt_id", resets: str | None = None) -> DataFrame:
+    """Every attempt with `refused_by`: 0 if all limiters (key column, limit) allow it, else the number of the one that refused.
+
+    The limiters are asked in this order, in one fold. Keys of the earlier limiters are told apart within the last one's key (a
+    visitor of one business is not the visitor of another). At one instant, attempts are taken in `order`. `resets` names a boolean column: an attempt that all
+    allow clears the first limiter's key if it is true. A null key is a key like any other.
+    """
+    width = seconds * 1_000_000
+    names, own = attempts.columns, {f"__key{n}": F.col(key) for n, (key, _) in enumerate(limiters)}
+    at = F.unix_micros("ts")
+    flag = F.coalesce(F.col(resets), F.lit(False)) if resets else F.lit(False)
+    keyed = attempts.withColumns({**own, "__outer": F.col(limiters[-1][0]), "__at": at, "__bucket": F.floor(at / F.lit(width)).cast("bigint"), "__resets": flag})
+    marked = _marked(attempts, limiters, seconds)
+    met = keyed.join(marked, F.col("__outer").eqNullSafe(F.col("outer")) & (F.col("__bucket") == F.col("bucket")), "left")
+    certain = met.where("full IS NULL OR NOT full").select(*names, F.lit(0).alias("refused_by"))
+    folded = met.where("stretch IS NOT NULL").drop("outer", "bucket").repartition("__outer", "stretch").sortWithinPartitions("__outer", "stretch", "__at", order)
+    schema = T.StructType([*folded.schema.fields, T.StructField("refused_by", T.IntegerType())])
+    return certain.unionByName(folded.mapInArrow(fold_stretches([n for _, n in limiters], width), schema).select(*names, "refused_by"))
+
+
+def decisions(attempts: DataFrame, key: str, limit: int, seconds: int, order: str = "attempt_id", resets: str | None = None) -> DataFrame:
     """Every attempt with `allowed`. At one instant, attempts are taken in `order`."""
-    refused = (
-        _stretches(trailing_counts(attempts, key, seconds), limit)
-        .select("key", "stretch", "bucket", "at", "n")
-        .repartition("key", "stretch")
-        .sortWithinPartitions("key", "stretch", "at")
-        .mapInPandas(fold_stretches(limit, seconds * 1_000_000), "key string, at bigint, n bigint, allowed bigint")
-    )
-    marked = attempts.withColumns({"__key": F.col(key), "__at": F.unix_micros("ts")}).join(
-        refused.select(F.col("key").alias("__key"), F.col("at").alias("__at"), F.col("allowed").alias("__room")), ["__key", "__at"], "left"
-    )
-    certain = marked.filter("__room IS NULL").withColumn("allowed", F.lit(True))
-    # attempts sharing one microsecond with a refusal
-    within = W.partitionBy("__key", "__at").orderBy(order)
-    tight = marked.filter("__room IS NOT NULL").withColumn("allowed", F.row_number().over(within) <= F.col("__room"))
-    return certain.unionByName(tight).drop("__key", "__at", "__room")
+    return in_turn(attempts, [(key, limit)], seconds, order, resets).withColumn("allowed", F.col("refused_by") == 0).drop("refused_by")
 
 
 def contact_decisions(
     attempts: DataFrame, visitor_limit: int = 5, business_limit: int = 100, seconds: int = 3600
 ) -> DataFrame:
-    """Both contact-form limits in sequence; the business is only asked when the visitor may send.
-
-    The second limiter reads the first one's verdicts several times, so they are written once.
+    """Both contact-form limits in sequence, in one fold; the business is only asked when the visitor may send."""
+    verdict = F.when(F.col("refused_by") == 1, "visitor limit").when(F.col("refused_by") == 2, "business limit").otherwise("allowed")
+    both = in_turn(attempts, [("visitor", visitor_limit), ("business", business_limit)], seconds)
+    return both.select("attempt_id", "business", "visitor", "ts", verdict.alias("verdict"))
+
+
+def login_decisions(
+    attempts: DataFrame, email: str = "email", address: str = "address", limit: int = 10, address_times: int = 5, seconds: int = 900,
+    order: str = "attempt_id", succeeded: str | None = None,
+) -> DataFrame:
+    """Every attempt with its `verdict`: the e-mail limiter is asked first, then the address limiter, whose limit is
+    `address_times` as high.
+
+    The keys are independent of each other, so each limiter has its own fold. With `succeeded` (the password was right), an
+    attempt that both allow clears its e-mail's count. Whether it does depends on the address limiter, which depends on the
+    e-mail limiter: the two are repeated until no clearing changes. Every verdict depends on earlier attempts only, so each
+    round settles at least the earliest open one, and the last round's verdicts are those of the sequence.
     """
-    keyed = attempts.withColumn("visitor_key", F.concat_ws(":", "business", "visitor"))
-    first = decisions(keyed, "visitor_key", visitor_limit, seconds).withColumnRenamed("allowed", "visitor_ok").drop("visitor_key")
-    first = checkpointed(first, "visitor-limit")
-    second = decisions(first.filter("visitor_ok").drop("visitor_ok"), "business", business_limit, seconds)
-    return (
-        first.filter("NOT visitor_ok")
-        .select("attempt_id", "business", "visitor", "ts", F.lit("visitor limit").alias("verdict"))
-        .unionByName(
-            second.select(
-                "attempt_id", "business", "visitor", "ts", F.when(F.col("allowed"), "allowed").otherwise("business limit").alias("verdict")
-            )
-        )
-    )
+    names = attempts.columns
+    tried = attempts.withColumn("__clears", F.coalesce(F.col(succeeded), F.lit(False)) if succeeded else F.lit(False))
+    while True:
+        first = checkpointed(in_turn(tried, [(email, limit)], seconds, order, "__clears"), "login-email")
+        passed = in_turn(first.where("refused_by = 0").drop("refused_by"), [(address, limit * address_times)], seconds, order)
+        both = checkpointed(
+            passed.withColumn("verdict", F.when(F.col("refused_by") == 0, "allowed").otherwise("address limit")).drop("refused_by").unionByName(
+                first.where("refused_by <> 0").drop("refused_by").withColumn("verdict", F.lit("email limit"))
+            ),
+            "login-both",
+        )
+        if not succeeded:
+            return both.select(*names, "verdict")
+        # an attempt that the address limiter refused clears nothing; one that the e-mail limiter refused is not asked about it
+        clears = F.coalesce(F.col(succeeded), F.lit(False)) & (F.col("verdict") != "address limit")
+        if both.where(F.col("__clears") != clears).isEmpty():
+            return both.select(*names, "verdict")
+        tried = both.withColumn("__clears", clears).drop("verdict")

@@ -168,9 +168,15 @@ def _(t):
     return limits.contact_decisions(t.attempts, VISITOR, BUSINESS, SECONDS).select("attempt_id", "verdict")
 
 
-@query("login_limit_decisions", f"WITH RECURSIVE {_walk('u', 'fx_attempts', 'visitor', 2)} SELECT attempt_id, allowed FROM u")
+_LOGINS = "logins AS (SELECT attempt_id, visitor AS email, CAST(attempt_id % 50 AS VARCHAR) AS address, ts FROM fx_attempts)"
+
+
+@query("login_limit_decisions", f"""
+WITH RECURSIVE {_LOGINS}, {_walk('u', 'logins', 'email', 2)}, asked AS (SELECT l.* FROM logins l JOIN u USING (attempt_id) WHERE u.allowed), {_walk('w', 'asked', 'address', 4)}
+SELECT attempt_id, 'email limit' AS verdict FROM u WHERE NOT allowed UNION ALL SELECT attempt_id, CASE WHEN allowed THEN 'allowed' ELSE 'address limit' END FROM w""")
 def _(t):
-    return limits.decisions(t.attempts, "visitor", 2, SECONDS).select("attempt_id", "allowed")
+    logins = t.attempts.select("attempt_id", F.col("visitor").alias("email"), (F.col("attempt_id") % 50).cast("string").alias("address"), "ts")
+    return limits.login_decisions(logins, limit=2, address_times=2, seconds=SECONDS).select("attempt_id", "verdict")
 
 
 @query("rate_limit_suspects", f"""
