@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings, strategies as st
 
 from ticketloom.functions import documents as d
@@ -38,6 +40,39 @@ def test_a_bad_page_does_not_stop_the_rest(spark):
     assert out[2]["text"] is None and out[2]["error"]
 
 
+def test_open_tags_and_quotes_are_read_once():
+    """A page of unclosed tags, quotes or declarations takes time in proportion to its length."""
+    for piece in ("<a href=x ", "<a 'x ", '<a "x', "<!x ", "<a \"<a' ", "<script ", "<!-- "):
+        for end in ("", ">", '">"', "'>' z"):
+            started = time.perf_counter()
+            d.page_text(piece * 40_000 + end)
+            assert time.perf_counter() - started < 2, (piece, end)
+    assert d.page_text("<p>five <x and 3 < 4") == (None, "five <x and 3 < 4")
+    assert d.page_text("<p title='a>b' x=\">\">one<br/>two</p> <b") == (None, "one\n\ntwo\n\n<b")
+    assert d.page_text("<p a=it's>one</p>two") == (None, "one\n\ntwo")
+
+
+def test_many_headings_take_time_in_proportion(spark):
+    """5,000 headings in one document; its sections are those of the same text cut by hand."""
+    text = "\n\n".join(f"{'#' * (1 + k % 3)} H{k}\n\nbody {k}" for k in range(5000))
+    started = time.perf_counter()
+    out = cut(spark, [text], 300)[0]
+    assert time.perf_counter() - started < 20 and len(out) == 5000
+    held = {}
+    for k, (title, content) in enumerate(out):
+        depth = 1 + k % 3
+        held = {n: h for n, h in held.items() if n < depth} | {depth: f"H{k}"}
+        assert (title, content) == ("T: " + " / ".join(held.values()), f"body {k}")
+
+
+def test_strip_takes_the_white_space_of_unicode(spark):
+    from ticketloom.functions.text import strip
+
+    data = [(k, f"{chr(k)}a{chr(k)}") for k in range(1, 0x3100) if not 0xD800 <= k < 0xE000]
+    df = spark.createDataFrame(data, "k int, text string")
+    assert df.where(strip("text") != F.regexp_replace("text", r"(?U)^\s+|\s+\z", "")).count() == 0
+
+
 def test_repeated_titles_are_numbered(spark):
     text = "## Policy\n\n" + " ".join(f"Sentence {i} tells one detail." for i in range(60))
     docs = spark.createDataFrame([(1, 0, "Doc", text)], "document_id bigint, tenant_id int, title string, content string")

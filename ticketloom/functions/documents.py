@@ -45,8 +45,9 @@ def _try(data: bytes, encoding: str) -> str | None:
         return None
 
 
-_UNSEEN = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>""")
+# Each begins at a place and takes all it has read, also where the page ends in it, so no letter is read from two beginnings.
+_UNSEEN = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+(?:>|\Z)""")
 
 
 def page_text(html: str) -> tuple[str | None, str]:
@@ -55,8 +56,10 @@ def page_text(html: str) -> tuple[str | None, str]:
     The page is cut at its tags once. Running values along the cuts say for each stretch of text whether it lies in page
     chrome or the title, how deep its heading is, and to which block it belongs.
     """
-    parts = _TAG.split(_UNSEEN.sub("", html))
-    texts = parts[::3]
+    seen = _UNSEEN.sub("", html)
+    last = seen.rfind(">") + 1  # what follows holds no tag
+    parts = _TAG.split(seen[:last])
+    texts = [*parts[:-1:3], parts[-1] + seen[last:]]
     tags = [("", ""), *zip(parts[1::3], map(str.lower, parts[2::3]))]
     opened = [0 if closing else 1 for closing, _ in tags]
     hidden = accumulate(((2 * o - 1) * (name in CHROME) for o, (_, name) in zip(opened, tags)), lambda depth, step: max(depth + step, 0))
