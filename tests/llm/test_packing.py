@@ -64,6 +64,18 @@ def test_same_ids_as_the_library():
         assert ids.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1], text
 
 
+def test_long_runs_of_white_space():
+    """Equal to the library where it manages the run, and to its pieces where it does not."""
+    own, t = packing.tokenizer(PATH, P.PATTERN), library()
+    for gap in (" ", "\n", " \n\t\x0b", "\u3000 ", "\x85"):
+        run = (gap * 12_000)[:12_000]
+        for text in (run, f"a{run}", f"{run}b", f"a{run}b {run}\n{run}c", f"x{run}'s{run}1{run}!"):
+            assert own.encode(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], (gap, text[:2])
+    ids = own.encode("a" + " " * 2_000_000 + "b")
+    assert bytes(own.encoding.decode_bytes(ids[:-1].tolist())) == b"a" + b" " * 2_000_000 + b"b"
+    assert ids[:1].tolist() == t.encode("a", add_special_tokens=False).ids and ids[-2:-1].tolist() == t.encode(" b", add_special_tokens=False).ids
+
+
 def test_neighbours_are_alike(spark):
     rows = [(k, ("alpha beta gamma " if k % 2 else "uno dos tres quatre ") * 40) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

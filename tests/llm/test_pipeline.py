@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from ticketloom.llm import pipeline_stages as stages
 from ticketloom.llm import packing, pipeline_stages, simhash
 
 WORDS = {
@@ -90,3 +91,10 @@ def test_run_is_the_stages_in_turn(spark, tmp_path, docs):
     assert sorted((r.doc_id, r.doc_tokens) for r in out.select("doc_id", "doc_tokens").distinct().collect()) == sorted(
         (r.doc_id, r.doc_tokens) for r in pipeline_stages.packed(spark, step, "").select("doc_id", "doc_tokens").distinct().collect()
     )
+
+
+def test_columns_named_like_a_result_keep_their_values(spark):
+    rows = [(1, "a b", "yes", -1, "x"), (2, "ab", "no", -2, None), (3, "c", None, -3, "z"), (4, None, "q", 4, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, group_size int, keep_id string")
+    out = stages.first_copies(spark, docs, "")
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == [rows[0], rows[2], rows[3]]

@@ -15,6 +15,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +30,10 @@ KEY_BITS = 10  # of each axis
 HASHES = 4096
 
 
+#: Runs of white space that are cut without the library; shorter ones are no trouble to it.
+_LONG_RUN = regex.compile(r"\s{10000,}+")
+
+
 # ---- tokens -------------------------------------------------------------------------------------------------------------
 
 
@@ -51,9 +56,19 @@ class Ids:
         marks = np.random.default_rng(20).normal(size=(AXES, HASHES)).astype(np.float32)
         self.axes = [np.ascontiguousarray(row[hashed]) for row in marks]  # projection of hashed tokens
 
+    def _plain(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
     def encode(self, text: str | None) -> np.ndarray:
-        ids = self.encoding.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=())
-        return np.append(ids, np.uint32(END))
+        """Ids of the text and the end id. A long run of white space is cut as the pattern cuts it, without the library's
+        search, which goes back over such a run: all of it but its last character is a piece, or all of it at the end."""
+        text = text or ""
+        parts, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self._plain(text[at : run.start()]), np.array(self.encoding._encode_single_piece(text[run.start() : end]), np.uint32)]
+            at = end
+        return np.concatenate([*parts, self._plain(text[at:]), np.array([END], np.uint32)])
 
     def vector(self, ids: np.ndarray) -> list[float]:
         return [float(axis[ids].mean()) for axis in self.axes]

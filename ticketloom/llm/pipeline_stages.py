@@ -26,8 +26,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the longest original, then the smallest doc_id."""
-    return exact_dedup.mark_copies(docs).where("kept").select(docs.columns)
+    """One row of each group of equal texts: the longest original, then the smallest doc_id. Columns that have a name of the
+    operator's result keep their values."""
+    aside = {c: f"__given_{c}" for c in docs.columns if c in exact_dedup.RESULT}
+    kept = exact_dedup.mark_copies(docs.withColumnsRenamed(aside)).where("kept")
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
