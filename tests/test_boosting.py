@@ -98,3 +98,14 @@ def test_tickets_are_learned_into_one_pipeline(spark, tmp_path):
     tr.save_model(model, f"{tmp_path}/trees")
     found = tr.batch_predictions(PipelineModel.load(f"{tmp_path}/trees"), df, classes, "urgency_classifier", "v1").join(df, "ticket_id")
     assert found.where(F.col("prediction") != F.col("label")).count() == 0
+
+
+def test_folds_side_by_side_equal_single_fits(spark):
+    texts = {"low": "just curious about the colour range", "high": "urgent refund now or my bank disputes it", "medium": "the parcel is late and i am worried"}
+    data = [(i, f"{texts[k]} number {i % 7}", k if i % 9 else "low") for i, k in enumerate(list(texts) * 14)]
+    human = spark.createDataFrame(data, "row_id bigint, text string, label string")
+    weak = human.limit(20).select("text", "label")
+    classes = ["low", "medium", "high"]
+    side, single = (tr.cv_human_weight(weak, human, classes, weights=(0, 3), folds=3, max_iter=20, places=512, at_once=n) for n in (6, 1))
+    plain = lambda df: {(r.human_weight, r.row_id): [round(p, 6) for p in r.proba] for r in df.collect()}
+    assert plain(side) == plain(single) and side.count() == 2 * 42
