@@ -156,3 +156,12 @@ def test_status(spark):
     docs = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "document_id bigint, tenant_id int")
     secs = spark.createDataFrame([(1,), (1,), (2,), (2,), (2,)], "document_id bigint")
     assert rows(kb.document_status(docs, secs, most=2), "document_id", "status", "section_count") == [(1, "ready", 2), (2, "failed", 0), (3, "failed", 0)]
+
+
+def test_windows_of_tokens(spark):
+    texts = ["a b c", "", None, "d e f g h", "i", "j k"]
+    data = [(1, k, t) for k, t in enumerate(texts)] + [(2, 0, "x " * 9), (2, 1, "y")] + [(3, k, "z") for k in range(2500)]
+    out = kb.pack_tokens(spark.createDataFrame(data, "document_id bigint, position int, content string"), 4).collect()
+    found = {(r["document_id"], r["position"]): (r["tokens"], r["window_no"]) for r in out}
+    assert [found[1, k] for k in range(6)] == [(3, 0), (0, 0), (0, 0), (5, 0), (1, 2), (2, 2)]
+    assert found[2, 1] == (1, 2) and all(found[3, k] == (1, k // 4) for k in range(2500))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import documents as d
 from ..functions.text import content_fingerprint, doc_title, file_suffix, normalise_document, strip, word_tokens
 from ..schema import MAX_FILE_BYTES, MAX_SECTIONS, SECTION_TOKENS
+from .scale import running_sum
 
 # Reasons shown for a refused file
 WRONG_TYPE = "Upload Markdown, text, HTML or PDF files."
@@ -153,6 +154,19 @@ def part_numbers(sections: DataFrame) -> DataFrame:
     )
 
 
+def pack_tokens(sections: DataFrame, limit: int = SECTION_TOKENS, count: Callable[[Column], Column] = word_tokens) -> DataFrame:
+    """Each section with its tokens and the number of the window of `limit` tokens in which it begins.
+
+    Windows are laid over a document's sections in order of position. The running count is summed per thousand positions first,
+    so a document of very many sections is spread over tasks. Sections without a word begin where the one before them ended; a
+    null content counts as empty.
+    """
+    sized = sections.withColumn("tokens", count(F.coalesce("content", F.lit(""))).cast("bigint"))
+    run = running_sum(sized, ["document_id"], ["position"], F.floor(F.col("position") / 1000), F.col("tokens"), "__until")
+    window = F.floor((F.col("__until") - F.col("tokens")) / limit).cast("bigint")
+    return run.withColumn("window_no", window).drop("__until")
+
+
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Non-empty blocks of each document with zero-based positions."""
     return docs.select("document_id", "tenant_id", "title", F.posexplode(d.blocks_of(F.col("content"))).alias("position", "block"))

@@ -100,6 +100,13 @@ def _(t):
     return kb.part_numbers(t.sections).select("document_id", "position", "title")
 
 
+@query("pack_tokens", f"""
+WITH s AS (SELECT document_id, position, {words("coalesce(content, '')")} AS tokens FROM fx_sections)
+SELECT document_id, position, tokens, CAST(floor((sum(tokens) OVER (PARTITION BY document_id ORDER BY position) - tokens) / 300) AS BIGINT) AS window_no FROM s""")
+def _(t):
+    return kb.pack_tokens(t.sections, 300).select("document_id", "position", "tokens", "window_no")
+
+
 @query("section_positions", f"WITH {_BLOCKS} SELECT document_id, position, block FROM blocks")
 def _(t):
     return kb.text_blocks(t.help).select("document_id", F.col("position").cast("bigint").alias("position"), "block")

@@ -223,6 +223,19 @@ def _(t):
     return labelled(t).select("ticket_id", "weak_label")
 
 
+THREADS = """messages AS (SELECT c.conv_id * 100 + c.turn AS message_id, coalesce(t.body || chr(10), '') || c.text AS text
+  FROM conversations c LEFT JOIN fx_tickets t ON t.ticket_id = c.conv_id * 10 + c.turn)"""
+
+
+@query("thread_rules", f"WITH {_FIRED.replace(MESSAGES, THREADS)} SELECT message_id, array_to_string(fired, ',') AS fired, array_to_string(signals, ',') AS signals, weak_label FROM labelled")
+def _(t):
+    """The rules over every whole turn of the conversations, after the body of the ticket that its key names, if there is one."""
+    turns = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), (F.col("conv_id") * 10 + F.col("turn")).alias("ticket_id"), F.col("text").alias("turn_text"))
+    text = F.concat(F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), "turn_text")
+    met = turns.join(t.tickets.select("ticket_id", "body"), "ticket_id", "left").select("message_id", text.alias("text"))
+    return rules.with_rules(met).select("message_id", F.array_join("fired", ",").alias("fired"), F.array_join("signals", ",").alias("signals"), "weak_label")
+
+
 @query("strong_signals", f"WITH {_FIRED} SELECT ticket_id, array_to_string(signals, ',') AS signals FROM labelled")
 def _(t):
     return labelled(t).select("ticket_id", F.array_join("signals", ",").alias("signals"))
