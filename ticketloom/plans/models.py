@@ -11,8 +11,9 @@ from .registry import query
 from .text import MESSAGES, SPACE, _CONF, _FIRED, _REASONS, messages, newest_confidences, normalized
 
 CLASSES = list(URGENCIES)
-#: Places of the 21 fits of the cross-validation; with the default 2 ** 16 they take 360 s on 8 cores at sf0.01 (README).
-FOLD_PLACES = 1 << 12
+#: Places of the registered fits. With the default 2 ** 16 they take minutes at sf0.01 (figures in the README); some of the
+#: sentences' 1,700 terms then share a place.
+PLACES = 1 << 12
 _TOKENS = r"regexp_extract_all(" + normalized("text") + r", '[\p{L}\p{N}_]{2,}')"
 _TFIDF = """df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term HAVING count(*) >= {min_df} {top}),
 w AS (SELECT c.doc_id, c.term, (1 + ln(c.tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + d.df)) + 1) AS w FROM counts c JOIN df d USING (term)),
@@ -59,7 +60,7 @@ def _(t):
 @query("train_logreg")
 def _(t):
     sets = training_sets(t)
-    return tr.train_logreg(sets["train"], sets["val"], CLASSES)[1]
+    return tr.train_logreg(sets["train"], sets["val"], CLASSES, places=PLACES)[1]
 
 
 @query("train_trees")
@@ -71,7 +72,7 @@ def _(t):
 @query("top_coefficients")
 def _(t):
     sets = training_sets(t)
-    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, places=PLACES)
     return t.spark.createDataFrame(tr.top_coefficients(model, sets["train"], CLASSES), "class string, rank int, feature string, coefficient double")
 
 
@@ -80,7 +81,7 @@ def human_folds(t):
     human = messages(t).filter("corrected_urgency IS NOT NULL OR urgency IS NOT NULL").select(
         F.col("ticket_id").alias("row_id"), "text", F.coalesce("corrected_urgency", "urgency").alias("label")
     )
-    return tr.cv_human_weight(sets["train"], human, CLASSES, places=FOLD_PLACES)
+    return tr.cv_human_weight(sets["train"], human, CLASSES, places=PLACES)
 
 
 @query("cv_human_weight")
@@ -96,7 +97,7 @@ def _(t):
 @query("batch_triage")
 def _(t):
     sets = training_sets(t)
-    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES)
+    model, _ = tr.train_logreg(sets["train"], sets["val"], CLASSES, places=PLACES)
     return tr.batch_predictions(model, messages(t), CLASSES, "urgency_classifier", "v5", (1.0, 1.25, 2.0))
 
 
