@@ -2,8 +2,9 @@
 
 A text is cut into pieces by the tokenizer's pattern. A piece that is a token is done; each other distinct piece of a batch is
 a word of token-position rows, one for each byte. The recursive query joins neighbours with the merge table, contracts each
-word's leftmost pair of minimum rank, and ends when no word has a pair left. Ordered aggregation over the last rows gives the
-ids, and over the ids' bytes the decoded text.
+word's leftmost pair of minimum rank, and ends when no word has a pair left. The last rows in order are the ids; an ordered join
+with the vocabulary gives their bytes, whose column is the decoded text. One unbroken piece of n letters takes n rounds over up
+to n rows: a piece of more than about 10,000 letters takes long.
 
 Words that occur again, in the same batch or in another one of the same worker, are looked up instead of contracted again
 (the store is emptied at `STORED` words; it saves work and never changes a result).
