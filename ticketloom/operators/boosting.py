@@ -76,7 +76,8 @@ class Grown:
         self.open = len(self.losses) <= PATIENCE or min(self.losses[-PATIENCE:]) < best - TOLERANCE
 
     def best(self) -> list[list[Tree]]:
-        return self.rounds[: int(np.argmin(self.losses))] if self.losses else self.rounds
+        """The rounds up to the least loss, one at least: without a tree all classes are alike."""
+        return self.rounds[: max(1, int(np.argmin(self.losses)))] if self.losses else self.rounds
 
 
 # ---- bins -----------------------------------------------------------------------------------------------------------------
