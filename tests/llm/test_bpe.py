@@ -33,6 +33,28 @@ def test_ids_equal_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text or ""), repr(text)
 
 
+def long_pieces():
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    mixed = "".join(rng.choice("etaoin") for _ in range(3_000))
+    return [
+        word, "=" * 20_001, "-=" * 5_000, "abc" * 7_001, "abcdefg" * 3_000, "a" * 9_999, "日本語" * 2_000, " " * 30_000 + "x",
+        "".join(rng.choice("日本語中文字") for _ in range(5_000)), mixed + "=" * 3_000 + mixed, (mixed[:301] + "!") * 9, "\u00e9" * 4_000, mixed * 3,
+    ]
+
+
+@pytest.mark.parametrize("window", [8, bpe.WINDOW])
+def test_long_pieces_equal_the_library(library, monkeypatch, window):
+    """Whatever the windows, and whether or not tokens repeat in their step."""
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    monkeypatch.setattr(bpe.Tokenizer.join, "__defaults__", (window,))
+    own = bpe.Tokenizer(PATH, P.PATTERN)
+    given = [t if window > 8 else t[:1_000] for t in long_pieces()]
+    for text, ids in zip(given, own.encode(given)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), text[:20]
+    assert own.decode(own.encode(given[:3])) == [t.encode() for t in given[:3]]
+
+
 def test_round_trip():
     own = bpe.tokenizer(PATH, P.PATTERN)
     given = texts()

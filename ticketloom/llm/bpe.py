@@ -3,8 +3,11 @@
 A text is cut into pieces by the tokenizer's pattern. A piece that is a token is done; each other distinct piece of a batch is
 a word of token-position rows, one for each byte. The recursive query joins neighbours with the merge table, contracts each
 word's leftmost pair of minimum rank, and ends when no word has a pair left. The last rows in order are the ids; an ordered join
-with the vocabulary gives their bytes, whose column is the decoded text. One unbroken piece of n letters takes n rounds over up
-to n rows: a piece of more than about 10,000 letters takes long.
+with the vocabulary gives their bytes, whose column is the decoded text.
+
+A word of n letters takes up to n rounds, so a long unbroken piece is read in overlapping windows, each a word of its own, and put
+together where two windows agree on a token (`Tokenizer.join`). The ids are those of the whole piece: contracting goes by rank and
+then by place, so a list of tokens is a text's encoding exactly if each two neighbours are the encoding of their own letters.
 
 Words that occur again, in the same batch or in another one of the same worker, are looked up instead of contracted again
 (the store is emptied at `STORED` words; it saves work and never changes a result).
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import column, pieces
 
-#: Bytes of words in one recursive query.
-QUERY_BYTES = 400_000
+#: Bytes of words in one recursive query, and the sum of their squared lengths (rows over all rounds).
+QUERY_BYTES, QUERY_ROWS = 400_000, 6_000_000
+#: Bytes of a window of a long piece; the next one begins half a window later. Pieces of up to two windows are one word.
+WINDOW = 128
 #: Words, and pieces of words, whose ids a worker keeps.
 STORED = 300_000
 
@@ -66,11 +71,14 @@ class Tokenizer:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern, self.runs = regex.compile(pattern), regex.compile(r" \s")
         self.bytes = {rank: token for token, rank in self.ranks.items()}
+        self.size = np.zeros(max(self.bytes) + 1, np.int64)
+        self.size[list(self.bytes)] = [len(t) for t in self.bytes.values()]
         self.letter = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.execute("SET enable_progress_bar = false")
+        self.db.execute("SET temp_directory = ''")  # QUERY_ROWS bounds a query's memory: nothing is spilled to a local folder
         # DuckDB is given the tables once; the merge table has a row for each way to put a token together of two others
         halves = [
             (self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t))
@@ -87,12 +95,13 @@ class Tokenizer:
     # -- encoding
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word by the recursive query, in groups of about QUERY_BYTES."""
-        out: list[bytes] = []
+        """Ids of each word by the recursive query, in groups of about QUERY_BYTES. Words of a group have like lengths."""
+        out: list[bytes] = [b""] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        group = np.cumsum(size) // QUERY_BYTES
+        order = np.argsort(size, kind="stable")
+        group = np.cumsum(np.maximum(size[order] * QUERY_ROWS // QUERY_BYTES, size[order] ** 2)) // QUERY_ROWS
         for g in np.unique(group):
-            at = np.flatnonzero(group == g)
+            at = order[group == g]
             some, length = [words[i] for i in at], size[at]
             letters = self.letter[np.frombuffer(b"".join(some), np.uint8)]
             word = np.repeat(np.arange(len(some), dtype=np.int32), length)
@@ -102,9 +111,62 @@ class Tokenizer:
             self.db.unregister("letters")
             flat = rows.column("token").to_numpy().astype("<u4").tobytes()
             cuts = [0, *(4 * (np.flatnonzero(np.diff(rows.column("word").to_numpy())) + 1)).tolist(), len(flat)]
-            out += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+            for i, a, b in zip(at.tolist(), cuts, cuts[1:]):
+                out[i] = flat[a:b]
         return out
 
+    def spans(self, ids: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens, and where each of them begins, with the end of the last one."""
+        tokens = np.frombuffer(ids, "<u4")
+        return tokens, start + np.concatenate([[0], np.cumsum(self.size[tokens])])
+
+    def join(self, letters: bytes, known: dict[bytes, bytes], wide: int = WINDOW) -> bytes:
+        """Ids of a long piece from windows of `wide` bytes; those in `known` are looked up.
+
+        Where two windows have a token at the same place, the left one is followed up to it and the right one from it on: each
+        two neighbours then stand together in one of the windows. A window without such a token (tokens that repeat in another
+        step than the windows do) begins at a token of the left one instead; if that does not help, windows are doubled.
+        """
+        if wide >= len(letters):
+            return self.contract([letters])[0]
+        stride = wide // 2
+        grid = {letters[k : k + wide] for k in range(0, len(letters), stride)} - known.keys()
+        known.update(zip(grid, self.contract(list(grid))))
+
+        def window(start: int) -> tuple[np.ndarray, np.ndarray]:
+            part = letters[start : start + wide]
+            if part not in known:
+                known[part] = self.contract([part])[0]
+            return self.spans(known[part], start)
+
+        out: list[bytes] = []
+        tokens, places = window(0)
+        while (last := int(places[-1])) < len(letters):
+            on_grid = (last - stride) // stride * stride
+            at_token = int(places[np.searchsorted(places, last - stride, side="right") - 1])
+            for follow in (on_grid, at_token):
+                if follow <= last - wide or follow < places[0]:
+                    continue
+                more, at = window(follow)
+                same, left, right = np.intersect1d(places[:-1], at[:-1], assume_unique=True, return_indices=True)
+                if len(equal := np.flatnonzero(tokens[left] == more[right])):
+                    k = equal[0]
+                    out.append(tokens[: left[k]].astype("<u4").tobytes())
+                    tokens, places = more[right[k] :], at[right[k] :]
+                    break
+            else:
+                return self.join(letters, known, 2 * wide)
+        out.append(tokens.astype("<u4").tobytes())
+        return b"".join(out)
+
+    def encode_pieces(self, found: list[bytes]) -> list[bytes]:
+        """Ids of each piece; those of more than two windows are put together from windows."""
+        words = {p for p in found if len(p) <= 2 * WINDOW}
+        words.update(p[k : k + WINDOW] for p in found if len(p) > 2 * WINDOW for k in range(0, len(p), WINDOW // 2))
+        distinct = list(words)
+        known = dict(zip(distinct, self.contract(distinct)))
+        return [known[p] if len(p) <= 2 * WINDOW else self.join(p, known) for p in found]
+
     def learn(self, words: list[str]) -> None:
         """Put the ids of these words (with their leading white space) into the store."""
         if len(self.pieces) > STORED:
@@ -115,7 +177,7 @@ class Tokenizer:
         letters = [p.encode("utf-8", "surrogatepass") for p in fresh]
         ranks = list(map(self.ranks.get, letters))
         known.update((p, r.to_bytes(4, "little")) for p, r in zip(fresh, ranks) if r is not None)
-        known.update(zip([p for p, r in zip(fresh, ranks) if r is None], self.contract([b for b, r in zip(letters, ranks) if r is None])))
+        known.update(zip([p for p, r in zip(fresh, ranks) if r is None], self.encode_pieces([b for b, r in zip(letters, ranks) if r is None])))
         for word, found in zip(words, cut):
             stored[word] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
 
