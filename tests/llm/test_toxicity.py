@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from ticketloom.llm import toxicity as t
 from ticketloom.llm.common import fold
@@ -64,6 +65,23 @@ def test_held_out_texts_and_disguises(spark):
     assert inserted[0] > inserted[1]
 
 
+def test_few_toxic_texts_reach_the_threshold(spark):
+    """The calibration sees each of the few toxic texts once, so sure ones score above it."""
+    rows = corpus(spark, 150)
+    model = t.fit(rows.select("id", "text"), rows.where(fold("id", 3) != 1).select("id", "class"))
+    got = t.toxicity(rows, model, "id").join(rows, "id").where(fold("id", 3) == 1).collect()
+    toxic = [r.score >= 0.7 for r in got if r["class"] == 1]
+    assert np.mean(toxic) > 0.8 and not any(r.score >= 0.7 for r in got if r["class"] == 0)
+
+
+def test_a_common_word_is_no_witness(spark):
+    """Toxic texts without an insult that the machine knows do not make a word of most texts toxic."""
+    rows = corpus(spark, 300).withColumn("text", F.concat("text", F.lit(" the")))
+    extra = spark.range(1000, 1006).select("id", F.lit("the the").alias("text"), F.lit(1).alias("class"))
+    model = t.fit(rows.unionByName(extra).select("id", "text"), rows.unionByName(extra).select("id", "class"))
+    assert t.margins(["the"], model.table, model.bias)[0] < 0 < t.margins([BAD[0]], model.table, model.bias)[0]
+
+
 def test_odd_rows(spark):
     rows = corpus(spark, 120)
     model = t.fit(rows, rows.select("id", "class"))

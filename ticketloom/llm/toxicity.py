@@ -13,6 +13,7 @@ in the subsequences, it is folded into one table of their weights, with which al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache, partial
 
 import numpy as np
@@ -30,6 +31,7 @@ SPAN = 24  # longer words are read in overlapping parts of this length
 #: Bounds of the fit: labelled texts of each class, words of each side, landmarks of each side.
 SAMPLE, WORDS, LANDMARKS = 4000, 6000, 256
 ROUNDS = 3
+PARTS = 5  # of the labelled texts, for the calibration
 PENALTY = 1e-5
 #: A word whose likelihood ratio for the toxic side exceeds this stands for toxicity in any text.
 SURE = 18.0
@@ -189,24 +191,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(texts) + self.offset, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: id, text; labels: id, class (1: toxic). Null texts or classes teach nothing."""
-    drawn, classes, shares = linear.class_sample(labels.where("id IS NOT NULL AND class IS NOT NULL"), "class", sample)
-    if len(classes) < 2:
-        return Model()
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=1_000_000):
-            found = [sorted({p for w in units(t) if (p := _plain(w)) and len(p) <= SPAN}) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["id", "label", "words"])
-
-    # at most about 2 * sample ids, so this side's size is bounded
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(drawn.select("id", "label")), "id")
-    held = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0
-    kind = docs.schema["id"].dataType.simpleString()
-    fitted = rows.where(~held).select("id", "label", "text").mapInArrow(words_of, f"id {kind}, label int, words array<string>")
-    spoken = written(fitted.select("id", "label", F.explode("words").alias("word")), "words")
-
+def learn(spoken: DataFrame) -> Model:
+    """spoken: (id, label, word) of labelled texts. The machine alone, with its margins not yet calibrated."""
     texts = dict(spoken.groupBy("label").agg(F.countDistinct("id")).collect())
     if len(texts) < 2:
         return Model()
@@ -243,18 +229,52 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         if turn == ROUNDS - 1:
             break
         valued = written(counted.select("word", "clean", "toxic").mapInArrow(partial(_valued, model=model), "word string, clean long, toxic long, value double"), "word_values")
-        best = spoken.where("label = 1").join(valued, "word").groupBy("id").agg(F.max_by("word", F.struct("value", "word")).alias("word"))
+        # a text without a known insult must not make a common word its witness
+        best = spoken.where("label = 1").join(valued.where("clean < toxic"), "word").groupBy("id").agg(F.max_by("word", F.struct("value", "word")).alias("word"))
         speak = dict(best.groupBy("word").count().orderBy(F.desc("count"), *few).limit(WORDS).collect()) | sure
         wrong = valued.where("clean >= toxic AND value > -0.8").orderBy(F.desc("value"), *few).select("word", "clean").limit(WORDS // 2).collect()
-        speak = {w: n for w, n in speak.items() if w not in dict(wrong) or w in sure}
         near |= dict(wrong)
 
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """docs: id, text; labels: id, class (1: toxic). Null texts or classes teach nothing.
+
+    The machine learns from all drawn texts. Its calibration is cross-fitted: each of PARTS parts is valued by a machine that
+    learnt from the other parts, so every drawn text counts, however few of them are toxic.
+    """
+    drawn, classes, shares = linear.class_sample(labels.where("id IS NOT NULL AND class IS NOT NULL"), "class", sample)
+    if len(classes) < 2:
+        return Model()
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=1_000_000):
+            found = [sorted({p for w in units(t) if (p := _plain(w)) and len(p) <= SPAN}) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], ["id", "part", "label", "words"])
+
+    # at most about 2 * sample ids, so this side's size is bounded
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(drawn.select("id", "label")), "id").select("id", part, "label", "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    said = rows.mapInArrow(words_of, f"id {kind}, part int, label int, words array<string>")
+    spoken = written(said.select("id", "part", "label", F.explode("words").alias("word")), "words")
+    with ThreadPoolExecutor(PARTS + 1) as side_by_side:
+        model, *others = side_by_side.map(learn, [spoken, *(spoken.where(F.col("part") != k) for k in range(PARTS))])
+    if model.table is None:
+        return model
+
     def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(model.margin(column(batch, "text"))), batch.column(1)], ["margin", "label"])
-
-    # a fifth of the bounded sample, two numbers a row
-    tried = rows.where(held).select("text", "label").mapInArrow(margin, "margin double, label int").collect()
+            text, part = column(batch, "text"), np.array(column(batch, "part"))
+            value = np.full(len(text), np.nan)
+            for k, other in enumerate(others):
+                if other.table is not None and len(at := np.flatnonzero(part == k)):
+                    value[at] = other.margin([text[i] for i in at])
+            yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(1)], ["margin", "label"])
+
+    # two numbers for each row of the bounded sample; without both classes in the other parts a text has no value
+    tried = rows.select("text", "label", "part").mapInArrow(margin, "margin double, label int").where(~F.isnan("margin")).collect()
     label = np.array([r.label for r in tried], int)
     model.slope, model.offset = platt(np.array([r.margin for r in tried]), label, np.array([1 / shares[k] for k in label]))
     return model
