@@ -31,7 +31,7 @@ SPAN = 24  # longer words are read in overlapping parts of this length
 #: Bounds of the fit: labelled texts of each class, words of each side, landmarks of each side.
 SAMPLE, WORDS, LANDMARKS = 4000, 6000, 256
 ROUNDS = 3
-PARTS = 5  # of the labelled texts, for the calibration
+PARTS, AT_ONCE = 5, 2  # of the labelled texts, for the calibration; machines that learn side by side (about 200 MB of the driver each)
 PENALTY = 1e-5
 #: A word whose likelihood ratio for the toxic side exceeds this stands for toxicity in any text.
 SURE = 18.0
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     kind = docs.schema["id"].dataType.simpleString()
     said = rows.mapInArrow(words_of, f"id {kind}, part int, label int, words array<string>")
     spoken = written(said.select("id", "part", "label", F.explode("words").alias("word")), "words")
-    with ThreadPoolExecutor(PARTS + 1) as side_by_side:
+    with ThreadPoolExecutor(AT_ONCE) as side_by_side:
         model, *others = side_by_side.map(learn, [spoken, *(spoken.where(F.col("part") != k) for k in range(PARTS))])
     if model.table is None:
         return model
