@@ -13,7 +13,6 @@ in the subsequences, it is folded into one table of their weights, with which al
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import cache, partial
 
 import numpy as np
@@ -31,7 +30,7 @@ SPAN = 24  # longer words are read in overlapping parts of this length
 #: Bounds of the fit: labelled texts of each class, words of each side, landmarks of each side.
 SAMPLE, WORDS, LANDMARKS = 4000, 6000, 256
 ROUNDS = 3
-PARTS, AT_ONCE = 5, 2  # of the labelled texts, for the calibration; machines that learn side by side (about 200 MB of the driver each)
+PARTS = 5  # of the labelled texts, for the calibration
 PENALTY = 1e-5
 #: A word whose likelihood ratio for the toxic side exceeds this stands for toxicity in any text.
 SURE = 18.0
@@ -114,12 +113,14 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
         np.add.at(side, (place[code[inside]], number[:, : code.shape[1]][inside]), weight)
     side /= lengths(landmarks)
     out = np.zeros((len(rows), len(landmarks)), np.float32)
-    for at in range(0, len(rows), 512):
-        part = rows[at : at + 512]
+    for at in range(0, len(rows), 64):
+        part = rows[at : at + 64]
         for code, inside, weight in subsequences(part):
             known = np.where(inside, place[code], 0)
             row, col = np.nonzero(known)
-            np.add.at(out, at + row, weight * side[known[row, col]])
+            if len(row):  # sums of each row's landmarks; rows come in order
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                out[at + row[first]] += weight * np.add.reduceat(side[known[row, col]], first, axis=0)
     return out / lengths(rows)[:, None]
 
 
@@ -157,15 +158,22 @@ def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
 
 def machine(z: np.ndarray, side: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine with squared hinge loss, by Newton steps over the rows inside the margin."""
-    x = np.column_stack([z, np.ones(len(z))]).astype(np.float64)
+    x = np.column_stack([z, np.ones(len(z))]).astype(np.float32)
+    blocks = [slice(at, at + 1024) for at in range(0, len(x), 1024)]  # of rows, so that no second copy of all is made
     ridge = PENALTY * weight.sum() * np.eye(x.shape[1])
     ridge[-1, -1] *= 1e-3
     w = np.zeros(x.shape[1])
     inside = np.ones(len(x), bool)
     for _ in range(30):
-        some = x[inside] * weight[inside, None]
-        w = np.linalg.solve(ridge + some.T @ x[inside], some.T @ side[inside])
-        now = side * (x @ w) < 1
+        left, right = ridge.copy(), np.zeros(len(w))
+        for block in blocks:
+            pick = inside[block]
+            some = x[block][pick].astype(np.float64)
+            weighted = some * weight[block][pick, None]
+            left += weighted.T @ some
+            right += weighted.T @ side[block][pick]
+        w = np.linalg.solve(left, right)
+        now = side * np.concatenate([x[block] @ w for block in blocks]) < 1
         if (now == inside).all():
             break
         inside = now
@@ -219,7 +227,7 @@ def learn(spoken: DataFrame) -> Model:
         landmarks, _ = encode(list(dict.fromkeys([*(typical or speak), *common, *list(near)[:LANDMARKS]])))
         values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
         good = values > 1e-4 * values[-1]
-        root = vectors[:, good] / np.sqrt(values[good])  # the Nyström map: kernel values times root
+        root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)  # the Nyström map: kernel values times root
         sides = [speak, {w: n for w, n in clean.items() if w not in speak}, {w: n for w, n in near.items() if w not in speak}]
         words = [w for part in sides for w in part]
         side = np.where(np.arange(len(words)) < len(speak), 1.0, -1.0)
@@ -259,10 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     kind = docs.schema["id"].dataType.simpleString()
     said = rows.mapInArrow(words_of, f"id {kind}, part int, label int, words array<string>")
     spoken = written(said.select("id", "part", "label", F.explode("words").alias("word")), "words")
-    with ThreadPoolExecutor(AT_ONCE) as side_by_side:
-        model, *others = side_by_side.map(learn, [spoken, *(spoken.where(F.col("part") != k) for k in range(PARTS))])
+    model = learn(spoken)
     if model.table is None:
         return model
+    others = [learn(spoken.where(F.col("part") != k)) for k in range(PARTS)]  # one after the other: the driver holds one fit's arrays
 
     def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
