@@ -166,3 +166,24 @@ def test_null_keys_are_kept(spark):
     assert [w for _, w in weights] == [5 / 4, 5 / 6, 5 / 6, 5 / 4, 5 / 6]
     ranked = corpus.ranked(df, ["category", "grp"], "row_id", "s")
     assert ranked.count() == 5
+
+
+def test_trailing_counts_add_each_attempt_once(spark):
+    from ticketloom.operators.limits import trailing_counts
+
+    rng = random.Random(3)
+    attempts = [(f"k{rng.randrange(2)}" if rng.random() < 0.9 else None, rng.randrange(400)) for _ in range(600)]
+    table = spark.createDataFrame(attempts, "who string, s bigint").select("who", F.timestamp_seconds("s").alias("ts"))
+    found = trailing_counts(table, "who", 50)
+    want = {(k, at): sum(o == k and at - 50 < s <= at for o, s in attempts) for k, at in set(attempts)}
+    assert {(r.key, r["at"] // 1_000_000): r.trailing for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a frame with a moving lower end is added up anew for every row
+    assert "unboundedpreceding" in plan and " -49999999" not in plan
+
+
+def test_rows_are_dealt_out_by_number_and_not_by_bytes(spark):
+    from ticketloom.operators.features import with_terms
+
+    few = spark.createDataFrame([(n, "The parcel is late") for n in range(400)], "id bigint, text string").coalesce(1)
+    assert with_terms(few).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,16 +29,22 @@ from ..session import checkpointed
 def trailing_counts(attempts: DataFrame, key: str, seconds: int) -> DataFrame:
     """Per (key, instant): attempts `n` and attempts `trailing` in the window ending there.
 
-    Time is cut into window-long buckets. Each bucket also receives the one before it as context,
-    so a key's history is spread over its buckets instead of sorted in one task.
+    Time is cut into window-long buckets, so a key's history is spread over them instead of sorted in one task. Every instant
+    enters its own bucket at its time and leaves the next one a window later; the count of a window is what the bucket before
+    held, plus the running sum of these changes. Each row is added once, however many lie in a window.
     """
     width = seconds * 1_000_000
     instants = attempts.groupBy(F.col(key).alias("key"), F.unix_micros("ts").alias("at")).agg(F.count("*").alias("n"))
-    own = F.floor(F.col("at") / F.lit(width)).cast("bigint")
-    spread = instants.withColumn("bucket", own).withColumn("into", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    window = W.partitionBy("key", "into").orderBy("at").rangeBetween(-(width - 1), 0)
+    own = instants.withColumn("bucket", F.floor(F.col("at") / F.lit(width)).cast("bigint"))
+    enters = F.struct(F.col("bucket").alias("into"), F.col("at").alias("moment"), F.col("n").alias("change"))
+    leaves = F.struct((F.col("bucket") + 1).alias("into"), (F.col("at") + width).alias("moment"), (-F.col("n")).alias("change"))
+    spread = own.withColumn("move", F.explode(F.array(enters, leaves))).select("key", "bucket", "at", "n", "move.*")
+    whole = W.partitionBy("key", "into")
+    before = F.coalesce(F.sum(F.when(F.col("change") < 0, -F.col("change"))).over(whole), F.lit(0))
+    # what leaves at an instant is out of the window that ends there
+    moved = F.sum("change").over(whole.orderBy("moment").rangeBetween(W.unboundedPreceding, W.currentRow))
     return (
-        spread.withColumn("trailing", F.sum("n").over(window))
+        spread.withColumn("trailing", before + moved)
         .filter(F.col("into") == F.col("bucket"))
         .select("key", "bucket", "at", "n", "trailing")
     )
