@@ -147,3 +147,14 @@ def test_a_message_sent_twice_is_kept_once(spark, tmp_path):
     parts = [[row(1), row(2, web="http://spam"), row(3, "nobody")], [row(4, "A@x.io"), row(5, text="another message")]]
     out = sinks.run_to_end(jobs.intake(files(spark, str(tmp_path / "in"), parts, schema)))
     assert rows(out, "request_id") == [(1,), (5,)]
+
+
+def test_a_table_is_streamed_as_one_file_or_as_a_folder(spark, tmp_path):
+    frame = spark.createDataFrame([(n, f"t{n}") for n in range(20)], "id bigint, text string")
+    frame.repartition(3).write.parquet(str(tmp_path / "folder" / "turns.parquet"))
+    (tmp_path / "file").mkdir()
+    frame.coalesce(1).toPandas().to_parquet(str(tmp_path / "file" / "turns.parquet"))
+    frame.write.parquet(str(tmp_path / "folder" / "others.parquet"))
+    for kind in ("folder", "file"):
+        out = sinks.run_to_end(sinks.table_stream(spark, str(tmp_path / kind), "turns"))
+        assert rows(out, "id", "text") == rows(frame)

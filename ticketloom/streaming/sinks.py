@@ -11,11 +11,16 @@ from ..session import shared_dir
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A driver table as a stream of files; the schema is fixed up front."""
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet")
+    """A driver table as a stream of files; the schema is fixed up front.
+
+    The path is a pattern that only the table matches: a stream takes no plain path of a single file, and the pattern reads a
+    table that is one file and one that is a folder of part files alike.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def batch_writer(path: str, before: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
