@@ -90,3 +90,17 @@ def test_refund_of_exactly_the_threshold_is_fine(spark):
 
 def test_reasons_are_joined_in_rule_order(spark):
     assert decide(spark, urgency="high", category_confidence=0.1)[1] == "Urgency classified high (confidence 0.90); Low category confidence (0.10 < 0.6)"
+
+
+def test_a_filter_on_the_rules_does_not_repeat_the_patterns(spark):
+    df = spark.createDataFrame([(t, "high") for t, _ in CASES], "text string, urgency string")
+    wrong = rules.with_rules(df).filter(F.col("weak_label") != F.col("urgency"))
+    for made in (wrong, rules.rule_conflicts(rules.with_rules(df)), rules.rule_precision(rules.with_rules(df), "urgency")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_distinct(regexp_extract_all(") <= 1 and plan.count("my (personal )?") == 1
+    assert {r["text"] for r in wrong.collect()} == {t for t, label in CASES if label != "high"}
+
+
+def test_short_texts_are_dealt_over_all_tasks(spark):
+    df = spark.createDataFrame([(t,) for t, _ in CASES], "text string").coalesce(1)
+    assert rules.with_rules(df).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scale import computed_once, dealt_out
 from ..schema import MIN_CONFIDENCE, REFUND_THRESHOLD
 from .patterns import searchable
 from .prefilter import Prefilter
@@ -211,14 +212,13 @@ def strong_signals(votes: Column) -> Column:
 def with_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `fired`, `votes`, `weak_label` and `signals`.
 
-    Each step is its own projection: later ones refer to earlier results by name, so the patterns
-    are evaluated once per row. The patterns take far longer over a text than an exchange of it, so rows are dealt out evenly
-    first (Spark cuts or joins the partitions by their size): a file of one row group is else one task.
+    The literals and the fired rules are each computed once a row: later steps and filters refer to the results. The patterns
+    take far longer over a text than an exchange of it, so rows are dealt out evenly first: a file of one row group is else one
+    task, and so are short texts where Spark cuts the partitions by their bytes.
     """
+    searched = computed_once(dealt_out(df), {"__compound": compound(F.col(text)), "__found": LITERALS.found(F.lower(F.col(text)))})
     return (
-        (df if df.isStreaming else df.hint("rebalance"))
-        .withColumns({"__compound": compound(F.col(text)), "__found": LITERALS.found(F.lower(F.col(text)))})
-        .withColumn("fired", fired(F.col(text), F.col("__compound"), F.col("__found")))
+        computed_once(searched, {"fired": fired(F.col(text), F.col("__compound"), F.col("__found"))})
         .drop("__compound", "__found")
         .withColumn("votes", voting(F.col("fired")))
         .withColumns({"weak_label": label(F.col("votes")), "signals": strong_signals(F.col("votes"))})

@@ -130,6 +130,18 @@ def dealt_out(df: DataFrame) -> DataFrame:
     return df if df.isStreaming else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once a row, whatever refers to them later.
+
+    A filter on a column, also one that Spark infers for an explode, moves below the projection that makes the column and repeats
+    its expression there, for steps that build on each other many times over. It does not move below a generator, so the columns
+    come out of one that gives each row once.
+    """
+    made = {f"__once_{name}": column for name, column in columns.items()}
+    rows = df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in made.items()]))))
+    return rows.withColumns({name: F.col(f"__once_{name}") for name in columns}).drop(*made)
+
+
 def left_join_nullable(left: DataFrame, right: DataFrame, keys: Sequence[str], nullable: str, by: str, pieces: int = 64) -> DataFrame:
     """Left join on keys of which `nullable` is often null on the left.
 
