@@ -158,3 +158,25 @@ def test_a_table_is_streamed_as_one_file_or_as_a_folder(spark, tmp_path):
     for kind in ("folder", "file"):
         out = sinks.run_to_end(sinks.table_stream(spark, str(tmp_path / kind), "turns"))
         assert rows(out, "id", "text") == rows(frame)
+
+
+def test_keys_of_a_group_share_its_state(spark, tmp_path, monkeypatch):
+    """Many tickets, and many limited keys with a null among them, in four groups: the rows do not change, the state has a value a group."""
+    monkeypatch.setattr(jobs, "GROUPS", 4)
+    schema = "log_id bigint, ticket_id bigint, agent_name string, output string, created_at timestamp"
+    log = lambda i, ticket, agent, minutes: (i, ticket, agent, "{}", START + timedelta(minutes=minutes))
+    parts = [[log(k, k, "triage", k) for k in range(60)] + [log(99, None, "triage", 0)], [log(100 + k, k, "escalation", 60 + k) for k in range(0, 60, 2)], [log(200, 900, "triage", 900)]]
+    base = str(tmp_path / "runs")
+    out = sinks.run_to_end(jobs.run_tracker(files(spark, str(tmp_path / "logs"), parts, schema)), "update", base)
+    latest = sinks.latest_per_key(out, ["ticket_id", "run_no"], "version")
+    expected = [(k, 1, 2 - k % 2, k % 2 == 0, k % 2 == 1) for k in range(60)] + [(None, 1, 1, False, True), (900, 1, 1, False, False)]
+    assert rows(latest, "ticket_id", "run_no", "logs", "finished", "stuck") == sorted(expected, key=str)
+    held = spark.read.format("statestore").option("path", f"{base}/checkpoint").option("stateVarName", "tickets").load()
+    assert held.count() <= 5  # and the group of the null
+
+    attempts = [(i, f"k{i % 30}" if i % 31 else None, i) for i in range(300)]
+    stream = files(spark, str(tmp_path / "in"), [[(i, k, START + timedelta(seconds=t)) for i, k, t in attempts]], "attempt_id bigint, who string, ts timestamp")
+    base = str(tmp_path / "limits")
+    judged = sinks.run_to_end(jobs.rate_limited(stream, "who", 2, 100, "30 seconds"), base=base)
+    rest = jobs.undecided(spark, f"{base}/checkpoint", 2, 100)
+    assert rest.count() == 30 and {r.attempt_id: r.allowed for r in judged.collect() + rest.collect()} == brute_limit(attempts, 2, 100)
