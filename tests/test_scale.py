@@ -187,3 +187,14 @@ def test_rows_are_dealt_out_by_number_and_not_by_bytes(spark):
 
     few = spark.createDataFrame([(n, "The parcel is late") for n in range(400)], "id bigint, text string").coalesce(1)
     assert with_terms(few).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pieces_of_a_large_key_grow(spark):
+    """Small pieces of many vectors are as many copies of all of them: their number stays bounded until they are large."""
+    from ticketloom.operators import retrieval as rt
+
+    df = spark.range(2000).select(F.col("id").alias("query_id"), (F.col("id") % 100 == 0).cast("int").alias("tenant_id"))
+    cut, counts = rt._pieces(df, ["tenant_id"], "query_id", 5, "batch")
+    assert {r.tenant_id: r.n_batch for r in counts.collect()} == {0: rt.MOST_PIECES, 1: 4}
+    assert cut.count() == 2000 and cut.select("tenant_id", "batch").distinct().count() <= rt.MOST_PIECES + 4
+    assert rt._pieces(df, ["tenant_id"], "query_id", 5000, "batch")[1].filter("n_batch <> 1").isEmpty()

@@ -21,12 +21,17 @@ from ..session import shared_dir
 
 BLOCK_ROWS = 8192
 QUERY_SLICE = 256  # a slice times a block is the largest matrix a task holds
+#: Every query meets every piece of its key's entries and the other way round, so small pieces are as many copies of all vectors: a
+#: key with more than MOST_PIECES has larger ones, up to GROWN_ROWS.
+MOST_PIECES, GROWN_ROWS = 8, 2048
 TIE_DIGITS = 9  # similarities equal to this many digits are ties, broken by entry id
 
 
 def _pieces(df: DataFrame, keys: Sequence[str], row_id: str, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a piece number of about `rows` rows each, and the number of pieces per key."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(f"n_{name}"))
+    """Rows with a piece number of about `rows` rows each, or of up to `GROWN_ROWS` where these would be more than `MOST_PIECES`,
+    and the number of pieces per key."""
+    size = F.least(F.greatest(F.lit(rows), F.count("*") / F.lit(MOST_PIECES)), F.lit(max(rows, GROWN_ROWS)))
+    counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{name}"))
     return df.join(counts, list(keys)).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), counts
 
 
