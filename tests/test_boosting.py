@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ticketloom.operators import boosting as b, training as tr
@@ -63,6 +64,27 @@ def test_partitions_and_written_scores_change_nothing(spark, monkeypatch):
     assert plain(b.grow(rows(spark, x, y, parts=6), 3, [3], rounds=5)) == one
 
 
+def test_vectors_of_either_form_grow_the_trees_of_plain_values(spark):
+    x, y = data(120, 3)
+    x[:40, 3:] = 0.0  # short vectors are kept sparse, others dense
+    df = rows(spark, x, y, np.arange(120) % 4 == 0, parts=1)
+    kept = spark.createDataFrame(
+        [(Vectors.sparse(6, {int(f): float(v) for f, v in enumerate(r.values) if v}) if i % 2 else Vectors.dense(r.values), r.y, r.weight, r.held) for i, r in enumerate(df.collect())],
+        ["v", "y", "weight", "held"],
+    ).repartition(1)
+    one, two = (b.grow(d, 3, [3], rounds=3) for d in (df, kept.select(*b.sparse(F.col("v")), "y", "weight", "held")))
+    assert all(np.array_equal(e, f) for e, f in zip(one[1], two[1], strict=True))
+    plain = lambda found: [[(t.feature.tolist(), np.round(t.value, 9).tolist()) for t in trees] for trees in found[0][0].rounds]
+    assert plain(one) == plain(two)
+
+
+def test_bins_are_the_cuts_below_a_value():
+    edges = [np.array([0.0, 0.5, 2.0]), np.zeros(0), np.array([-1.0])]
+    feature, value = np.repeat([0, 1, 2], 6), np.tile([-3.0, -1.0, 0.5, 0.6, 9.0, np.nan], 3)
+    assert b._bins_of(feature, value, edges).tolist() == [int(np.searchsorted(edges[f], v)) for f, v in zip(feature, value)]
+    assert b._bins_of(feature[:0], value[:0], []).tolist() == []
+
+
 def test_learns_stops_and_survives_saving(spark, tmp_path):
     x, y = data(900, 2)
     held = np.arange(900) % 3 == 0

@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasProbabilityCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpointed
 
@@ -83,14 +83,30 @@ class Grown:
 # ---- bins -----------------------------------------------------------------------------------------------------------------
 
 
+def sparse(vector: Column) -> list[Column]:
+    """What `grow` takes of a column of ML vectors: `places` and `numbers` of the values it holds, and `size`."""
+    v = F.unwrap_udt(vector)
+    every = F.transform(v["values"], lambda _, i: i)
+    return [F.coalesce(v["indices"], every).alias("places"), v["values"].alias("numbers"), F.coalesce(v["size"], F.size(v["values"])).alias("size")]
+
+
+def _listed(vectors: DataFrame) -> DataFrame:
+    """Rows with `values` as rows with `places`, `numbers` and `size`."""
+    if "values" not in vectors.columns:
+        return vectors
+    every = F.transform("values", lambda _, i: i)
+    return vectors.select(every.alias("places"), F.col("values").alias("numbers"), F.size("values").alias("size"), *[c for c in vectors.columns if c != "values"])
+
+
 def bin_edges(vectors: DataFrame, bins: int = BINS) -> list[np.ndarray]:
     """Ascending cuts of each feature, at quantiles of its values other than zero: a value's bin is the number of cuts below it.
 
     The driver sees at most `bins` - 1 numbers a feature.
     """
-    size = vectors.select(F.size("values").alias("n")).first()
-    edges = [np.zeros(0)] * (size.n if size else 0)
-    nonzero = vectors.select(F.posexplode("values").alias("feature", "value")).where("value <> 0")
+    vectors = _listed(vectors)
+    size = vectors.select("size").first()
+    edges = [np.zeros(0)] * (size[0] if size else 0)
+    nonzero = vectors.select(F.inline(F.arrays_zip("places", "numbers")).alias("feature", "value")).where("value <> 0")
     cuts = [k / (bins - 1) for k in range(1, bins - 1)]
     found = nonzero.groupBy("feature").agg(F.percentile_approx("value", cuts, 1000).alias("cuts"), F.min("value").alias("least"), F.max("value").alias("most"))
     for feature, inner, least, most in found.collect():
@@ -100,33 +116,65 @@ def bin_edges(vectors: DataFrame, bins: int = BINS) -> list[np.ndarray]:
     return edges
 
 
+def _bins_of(feature: np.ndarray, value: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The number of cuts of its feature below each value; all of them for a value that is no number."""
+    table = np.full((max(map(len, edges), default=0), len(edges)), np.nan)
+    for f, own in enumerate(edges):
+        table[: len(own), f] = own
+    found, none = np.zeros(len(value), np.int32), np.isnan(value)
+    for cut in table:
+        found += cut[feature] < value
+    found[none] = np.array([len(own) for own in edges], np.int32)[feature[none]]
+    return found
+
+
 def _binned(vectors: DataFrame, edges: list[np.ndarray], keep: Sequence[str]) -> DataFrame:
     """The rows with `features` and `bins` of the values other than zero."""
+    vectors = _listed(vectors)
     kinds = dict(vectors.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            features, bins = [], []
-            for values in batch.column(0).to_numpy(zero_copy_only=False):
-                at = np.flatnonzero(values)
-                features.append(at.astype(np.int32))
-                bins.append(np.array([np.searchsorted(edges[f], v) for f, v in zip(at.tolist(), values[at].tolist())], np.int32))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(features, kind), pa.array(bins, kind), *batch.columns[1:]], ["features", "bins", *keep])
+        for batch in _slices(batches):
+            feature, value = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+            there = value != 0
+            row = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())[there]
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            feature = feature[there].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (feature, _bins_of(feature, value[there], edges))]
+            yield pa.RecordBatch.from_arrays([*lists, *batch.columns[2:]], ["features", "bins", *keep])
 
     schema = "features array<int>, bins array<int>, " + ", ".join(f"{c} {kinds[c]}" for c in keep)
-    return vectors.select("values", *keep).mapInArrow(cut, schema)
+    return vectors.select("places", "numbers", *keep).mapInArrow(cut, schema)
 
 
-def _matrix(batch: pa.RecordBatch, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of all features (rows x features), and row, feature and bin of the values other than zero."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _asked(grown: list[list[list[Tree]]], growing: dict[int, Tree], size: int) -> tuple[np.ndarray, list[list[list[Tree]]], dict[int, Tree]]:
+    """The features that some tree asks for, and the trees with features numbered among these."""
+    trees = [*(t for rounds in grown for own in rounds for t in own), *growing.values()]
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *[t.feature[t.feature >= 0] for t in trees]]).astype(np.int64))
+    number = np.zeros(size + 1, np.int32)
+    number[used], number[-1] = np.arange(len(used)), -1
+    own = lambda t: Tree(number[t.feature], t.cut, t.value)
+    return used, [[[own(t) for t in trees] for trees in rounds] for rounds in grown], {k: own(t) for k, t in growing.items()}
+
+
+def _matrix(batch: pa.RecordBatch, zero: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of the used features (rows x features), the number of values other than zero of each row, their features and bins."""
     lists = batch.column(0)
     size = lists.value_lengths().to_numpy()
-    row = np.repeat(np.arange(batch.num_rows), size)
     feature, bin_ = lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-    matrix = np.tile(zero.astype(np.uint8), (batch.num_rows, 1))
-    matrix[row, feature] = bin_
-    return matrix, row, feature, bin_
+    number = np.full(len(zero), -1)
+    number[used] = np.arange(len(used))
+    column = number[feature]
+    there = column >= 0
+    matrix = np.tile(zero[used].astype(np.uint8), (batch.num_rows, 1)) if len(used) else np.zeros((batch.num_rows, 1), np.uint8)
+    matrix[np.repeat(np.arange(batch.num_rows), size)[there], column[there]] = bin_[there]
+    return matrix, size, feature, bin_
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -136,7 +184,7 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 def _scores(batch: pa.RecordBatch, matrix: np.ndarray, grown: list[list[list[Tree]]], classes: int) -> np.ndarray:
     """(rows, depths, classes): the written scores and those of the trees grown since."""
-    start = np.stack(batch.column(5).to_numpy(zero_copy_only=False)).reshape(batch.num_rows, len(grown), classes).copy()
+    start = batch.column(5).flatten().to_numpy().reshape(batch.num_rows, len(grown), classes).copy()
     for d, rounds in enumerate(grown):
         for trees in rounds:
             for k, tree in enumerate(trees):
@@ -148,12 +196,6 @@ _COLUMNS = ["features", "bins", "y", "weight", "held", "scores"]
 _CELL = "tree int, node int, feature int, bin int, g double, h double"
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def _cells(rows: DataFrame, grown: list[list[list[Tree]]], growing: dict[int, Tree], level: int, zero: np.ndarray, classes: int) -> DataFrame:
     """Sums of gradient and curvature of each (tree, node, feature, bin); feature -1 holds a node's total, and tree -1 - d the
     loss and weight of the validation rows for depth d. Values of zero are left out: a node's total gives them.
@@ -164,24 +206,33 @@ def _cells(rows: DataFrame, grown: list[list[list[Tree]]], growing: dict[int, Tr
         sums = {t: np.zeros((2, nodes, places * BINS)) for t in growing}
         totals = {t: np.zeros((2, nodes)) for t in growing}
         loss = np.zeros((len(grown), 2))
+        used, before, now = _asked(grown, growing, places)
         for batch in _slices(batches):
-            matrix, row, feature, bin_ = _matrix(batch, zero)
+            matrix, size, feature, bin_ = _matrix(batch, zero, used)
+            # the (feature, bin) that occur in the slice, far fewer than there are, and which of them each value is
+            within = feature.astype(np.int64) * BINS + bin_
+            number = np.zeros(places * BINS, np.int64)
+            number[within] = 1
+            met = np.flatnonzero(number)
+            number[met] = np.arange(len(met))
+            within = number[within]
             y, weight, held = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
             y = y.astype(np.int64)
-            share = softmax(_scores(batch, matrix, grown, classes))
+            share = softmax(_scores(batch, matrix, before, classes))
             if level == 0:
                 own = np.log(np.maximum(share[np.arange(len(y)), :, y], 1e-15)) * np.where(held, weight, 0)[:, None]
                 loss += np.stack([-own.sum(axis=0), np.full(len(grown), weight[held].sum())], axis=1)
             use = np.where(held, 0.0, weight)
-            for t, tree in growing.items():
+            for t, tree in now.items():
                 p = share[:, t // classes, t % classes]
                 node = tree.place(matrix) - first
                 inside = (node >= 0) & ~held
-                cell = (node[row] * places + feature) * BINS + bin_
-                chosen = inside[row]
+                node = np.where(inside, node, 0)
+                cell = np.repeat(node * len(met), size) + within
                 for k, part in enumerate((use * (p - (y == t % classes)), use * p * (1 - p))):
-                    sums[t][k] += np.bincount(cell[chosen], part[row][chosen], nodes * places * BINS).reshape(nodes, -1)
-                    totals[t][k] += np.bincount(node[inside], part[inside], nodes)
+                    part = np.where(inside, part, 0.0)
+                    sums[t][k][:, met] += np.bincount(cell, np.repeat(part, size), nodes * len(met)).reshape(nodes, -1)
+                    totals[t][k] += np.bincount(node, part, nodes)
         out = []
         for t in growing:
             node, at = np.nonzero(sums[t][1])
@@ -235,8 +286,8 @@ def _leaf(g: float, h: float) -> float:
 
 
 def grow(vectors: DataFrame, classes: int, depths: Sequence[int], rounds: int = 40) -> tuple[list[Grown], list[np.ndarray]]:
-    """Boosted trees for each depth over rows (values array<double>, y double, weight double, held boolean); held rows only decide
-    when to stop. Nulls are not allowed; a class without a row keeps a score of its own like the others. Returns what was grown
+    """Boosted trees for each depth over rows (values array<double>, y double, weight double, held boolean), or with the columns of
+    `sparse` for `values`; held rows only decide when to stop. Nulls are not allowed; a class without a row keeps a score of its own like the others. Returns what was grown
     (cuts are values, not bins) and the bins' edges.
     """
     edges = bin_edges(vectors.where("NOT held"))
@@ -275,8 +326,9 @@ def grow(vectors: DataFrame, classes: int, depths: Sequence[int], rounds: int =
 
 def _advanced(rows: DataFrame, since: list[list[list[Tree]]], zero: np.ndarray, classes: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, own, _ = _asked(since, {}, len(zero))
         for batch in _slices(batches):
-            scores = _scores(batch, _matrix(batch, zero)[0], since, classes).reshape(batch.num_rows, -1)
+            scores = _scores(batch, _matrix(batch, zero, used)[0], own, classes).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(list(scores), pa.list_(pa.float64()))], _COLUMNS)
 
     return rows.select(*_COLUMNS).mapInArrow(add, rows.select(*_COLUMNS).schema)
